@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .shared import read_table
+from . import kneser_ney, mixing, order_minhash, simhash, toxicity, warc
+from .shared import held_out, read_table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 3)
+    scored = toxicity.score(docs, toxicity.learn(docs.where(~out), labels.where(~out).select("doc_id", "toxic")))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "matches")
+
+
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +26,69 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled of high quality weigh 2, of low 0.5, others 1."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weighed = docs.join(labels, "doc_id", "left")
+    mixed = mixing.mix(weighed, F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(read_table(spark, sf_dir, "documents"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_warc_zip": op2_warc_zip,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_kneser_ney": op9_kneser_ney,
+    "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_zip": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (SELECT payload_digest, max(page_id) AS top FROM p GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM p JOIN g USING (payload_digest)
+    """,
+    "op7_source_mixing": r"""
+        WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                -ln((('0x' || substr(md5('mix' || doc_id::VARCHAR), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+                    / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
+            FROM documents LEFT JOIN l USING (doc_id)
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM s
+        ), b AS (
+            SELECT *, 3 * source_size / weight AS bound FROM w
+        ), h AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER r, 0))::DOUBLE
+                / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS here
+            FROM b WINDOW r AS (ORDER BY bound, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), v AS (SELECT arg_min(here, bound) AS level FROM h WHERE here <= bound),
+        t AS (
+            SELECT source, source_size, CASE WHEN bound <= level THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target FROM h, v
+        ), o AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+                coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+            (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
+                + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - ahead)))::BIGINT AS taken
+        FROM o
+    """,
+}
