@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, order_minhash, simhash, toxicity, warc
+from . import decontaminate, hostrank, kneser_ney, licenses, mixing, order_minhash, pii, simhash, toxicity, warc
 from .shared import held_out, read_table
 
 
@@ -21,11 +21,24 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item_id").isNotNull().cast("int").alias("contaminated"), "item_id", F.round("share", 6).alias("share"), F.col("changed").cast("int").alias("reparameterised"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrank.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled of high quality weigh 2, of low 0.5, others 1."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -35,6 +48,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.learn(docs))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(read_table(spark, sf_dir, "documents"))
 
@@ -46,8 +65,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_zip": op2_warc_zip,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_source_mixing": op7_source_mixing,
+    "op8_pii": op8_pii,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_order_minhash": op10_order_minhash,
 }
