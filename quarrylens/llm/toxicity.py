@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon: folded text, Aho-Corasick matching, exception phrases, length normalisation.
 
-Folding: lower case, compatibility forms and accents stripped, look-alike letters of other scripts and digit
-substitutions put back, everything else a single space. The lexicon holds whole words and word stems with weights
+Folding: lower case, compatibility forms, look-alike letters of other scripts and digit substitutions put back,
+everything that is no letter or digit a single space. The lexicon holds whole words and word stems with weights
 learned from labelled rows: the log-odds of a document being toxic given the entry, by document counts in Spark. The
-score is a logistic curve over the weights matched, divided by the logarithm of the length in words.
+score is a logistic curve over the weights matched, divided by the root of the logarithm of the length in words.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,36 +37,48 @@ _GAP = re.compile(r"[\W_]+")
 MAX_LABELLED = 16_000
 STEMS = range(4, 9)
 MAX_WORD = 40
+LEVELS = 3
+LEAST_BOUND = 2.0
+MAX_WEIGHT = 6.0
 
 
 def fold(text: str | None) -> str:
-    """Words of a-z (and letters of scripts without look-alikes) between single spaces, one at either end."""
+    """Words between single spaces, one at either end: lower case, look-alikes and substitutions put back, accents kept."""
     text = (text or "").lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKC", text)
     if "!" in text or "|" in text:
         text = _SIGN.sub("i", text)
     return f" {_GAP.sub(' ', text.translate(_FOLD)).strip()} "
 
 
+def unaccented(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
+def level(n: int, words: int) -> int:
+    """1 to 3 for an entry that occurs ``n`` times: so many occurrences are needed as the square root of the length asks for."""
+    return max(1, min(LEVELS, int(n / max(1.0, math.sqrt(words / 500)))))
+
+
 @dataclass
 class Lexicon:
-    """entries: ``" word "`` (whole) or ``" stem"`` to weight; the logistic curve a * x + b over the normalised sum."""
+    """entries: ``" word "`` (whole) or ``" stem"`` to a weight for each level; the logistic curve a * x + b over the normalised sum."""
 
-    entries: dict[str, float]
+    entries: dict[str, tuple[float, ...]]
     a: float = 4.0
     b: float = -4.0
     exceptions: tuple[str, ...] = EXCEPTIONS
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_automaton"} | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None}
 
     def automaton(self):
         if self._automaton is None:
             machine = ahocorasick.Automaton()
-            for entry, weight in self.entries.items():
-                machine.add_word(entry, (len(entry), weight))
+            for entry in self.entries:
+                machine.add_word(entry, (len(entry), entry))
             for phrase in self.exceptions:
                 machine.add_word(whole := fold(phrase), (len(whole), None))
             if len(machine):
@@ -74,36 +87,49 @@ class Lexicon:
         return self._automaton
 
     def density(self, text: str | None) -> tuple[float, int]:
-        """Sum of the weights matched by log2(2 + words), and the number of matches; the longest match at a word counts."""
+        """Sum of the weights matched by the root of log2(2 + words), and the number of matches; the longest match at a word counts.
+
+        Whole words also match where only accents were put on them. What an exception phrase covers doesn't count.
+        """
         folded = fold(text)
         machine = self.automaton()
-        best: dict[int, tuple[int, float]] = {}
+        best: dict[int, tuple[int, str]] = {}
         spared: list[tuple[int, int]] = []
-        if len(machine):
-            for end, (length, weight) in machine.iter(folded):
+        if self.entries:
+            for end, (length, entry) in machine.iter(folded):
                 start = end - length + 1
-                if weight is None:
+                if entry is None:
                     spared.append((start, end))
-                elif length > best.get(start, (0, 0.0))[0]:
-                    best[start] = (length, weight)
+                elif length > best.get(start, (0, ""))[0]:
+                    best[start] = (length, entry)
         if spared:
             best = {s: x for s, x in best.items() if not any(a <= s and s + x[0] - 1 <= b for a, b in spared)}
+        found = Counter(entry for _, entry in best.values())
+        if self.entries and not folded.isascii():
+            found.update(plain for w in folded.split() if not w.isascii() and (plain := f" {unaccented(w)} ") in self.entries)
         words = max(folded.count(" ") - 1, 0)
-        return sum(w for _, w in best.values()) / math.log2(2 + words), len(best)
+        return sum(self.entries[e][level(n, words) - 1] for e, n in found.items()) / math.sqrt(math.log2(2 + words)), found.total()
 
     def probability(self, density: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.a * density + self.b))))
 
 
-def patterns(text: str | None) -> set[str]:
-    """Candidate entries of a text: its folded words, whole, and their stems."""
-    words = set(fold(text).split())
-    found = {f" {w} " for w in words if 2 < len(w) <= MAX_WORD}
-    found.update(f" {w[:k]}" for w in words for k in STEMS if len(w) > k)
-    return found
+def patterns(text: str | None) -> list[str]:
+    """Candidate entries of a text with the levels they reach, as entry and digit: its folded words, whole, and their stems."""
+    words = Counter(fold(text).split())
+    found: Counter[str] = Counter()
+    for w, n in words.items():
+        if 2 < len(w) <= MAX_WORD:
+            found[f" {w} "] += n
+        for k in STEMS:
+            if len(w) <= k:
+                break
+            found[f" {w[:k]}"] += n
+    total = words.total()
+    return [f"{e}{k}" for e, n in found.items() for k in range(1, 1 + (level(n, total) if n > 1 else 1))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
     """Newton's method for P(y) = 1 / (1 + exp(-(a x + b))), with a small ridge so that separable data converge."""
     w = np.array([0.0, 0.0])
     rows = np.stack([x, np.ones_like(x)], axis=1)
@@ -118,28 +144,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def choose(counts: list[tuple[str, int, int]], positives: int, negatives: int, least: int, most: int) -> dict[str, float]:
-    """Entries whose log-odds are high beyond chance, from (entry, toxic documents, other documents).
+def choose(counts: list[tuple[str, int, int]], positives: int, negatives: int, least: int, most: int) -> dict[str, tuple[float, ...]]:
+    """Entries whose log-odds are high beyond chance, from (entry and level, toxic documents, other documents).
 
     Weighed by the lower bound of the log-odds; an entry that extends a chosen stem, or is a stem of a chosen entry
-    without reaching more documents, is left out.
+    without reaching more documents, is left out. A level weighs at least as much as those under it.
     """
-    scored = []
-    for entry, bad, good in counts:
-        if bad < least:
-            continue
+    weights: dict[str, dict[int, tuple[float, int]]] = {}
+    for key, bad, good in counts:
         p, q = (bad + 0.5) / (positives + 1), (good + 0.5) / (negatives + 1)
-        bound = math.log(p / q) - 1.64 * math.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) * min(1.0, good))
-        if bound > 1.5:
-            scored.append((bound, entry.endswith(" "), len(entry), entry, bad))
-    scored.sort(key=lambda x: (-x[0], not x[1], -x[2], x[3]))
-    chosen: dict[str, float] = {}
+        bound = math.log(p / q) - 1.64 * math.sqrt(1 / (bad + 0.5) + (1 / (good + 0.5) if good else 0))
+        weights.setdefault(key[:-1], {})[int(key[-1])] = (bound, bad)
+    scored = []
+    for entry, levels in weights.items():
+        bound, bad = max(x for x in levels.values())
+        if bound > LEAST_BOUND and bad >= least:
+            scored.append((round(bound, 1), entry.endswith(" "), bad, len(entry), entry))
+    # The more documents an entry reaches at about the same bound the better; then whole words, then longer stems.
+    scored.sort(key=lambda x: (-x[0], -x[2], not x[1], -x[3], x[4]))
+    chosen: dict[str, tuple[float, ...]] = {}
     reach: Counter[str] = Counter()
-    for bound, _, _, entry, bad in scored:
+    for _, _, bad, _, entry in scored:
         word = entry.rstrip(" ")
         if any(word[: k + 1] in chosen for k in STEMS if k < len(word)) or bad <= 1.05 * reach[word]:
             continue
-        chosen[entry] = round(min(bound, 6.0), 4)
+        row, last = [], 0.0
+        for k in range(1, LEVELS + 1):
+            last = max(last, min(weights[entry].get(k, (0.0, 0))[0], MAX_WEIGHT))
+            row.append(round(last, 4))
+        chosen[entry] = tuple(row)
         for k in range(2, len(word) + 1):
             reach[word[:k]] = max(reach[word[:k]], bad)
         if len(chosen) >= most:
@@ -147,11 +180,24 @@ def choose(counts: list[tuple[str, int, int]], positives: int, negatives: int, l
     return chosen
 
 
+def _varied(rows: DataFrame) -> DataFrame:
+    """Rows (text, toxic) with one of those whose least word hash is the same: copies, near or exact, would count as evidence again and again."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            least = [min((xxhash.xxh64_intdigest(w) >> 1 for w in set(fold(t).split())), default=0) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic").cast(pa.int32()), pa.array(least, pa.int64())], names=["text", "toxic", "least"])
+
+    marked = rows.select("text", F.col("toxic").cast("int")).mapInArrow(batches, "text string, toxic int, least long")
+    return marked.groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 6, most: int = 5000) -> Lexicon:
     """Lexicon and curve from labelled rows: docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
     At most about ``max_labelled`` rows are used, chosen by a hash of doc_id; the counts are made in Spark, and the
-    driver gets at most 20,000 candidate entries and the densities of the rows used. Rows with a null id, label or
+    driver gets at most 20,000 candidate entries and the densities of the rows used. Of rows with the same least word
+    hash, which copies mostly share, one is used. Rows with a null id, label or
     text, and labels of unknown documents, are not used; without rows of both labels the lexicon is empty.
     """
     spark = docs.sparkSession
@@ -162,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # At most about max_labelled rows of two numbers, so they can be sent to every task.
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    rows = store(rows, "labelled")
+    rows = store(_varied(rows), "labelled")
     sizes = dict(rows.groupBy("toxic").count().collect())
     positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
     if not positives or not negatives:
@@ -172,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         found: Counter[str] = Counter()
         for part in parts:
             for text in part.column("text").to_pylist():
-                found.update(patterns(text) if wanted is None else patterns(text) & wanted)
+                found.update(patterns(text) if wanted is None else wanted.intersection(patterns(text)))
             if len(found) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found.keys())), pa.array(list(found.values()), pa.int64())], names=["entry", "n"])
                 found.clear()
