@@ -55,26 +55,20 @@ def balanced(src: str, at: int, opens: str = "{", closes: str = "}") -> str:
 
 def top_keys(obj: str) -> list[str]:
     """Names at the first level of an object literal, also in short form."""
-    out, depth, quote, word = [], 0, "", ""
-    for i, c in enumerate(obj):
-        if quote:
-            quote = "" if c == quote and obj[i - 1] != "\\" else quote
-            word += "" if not quote else c
-            continue
-        if c in "\"'`":
-            quote = c
-        elif c in "{[(":
+    flat, depth, at = [], 0, 0
+    for m in re.finditer(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[{}\[\]()]", obj):
+        if depth == 1:
+            flat.append(obj[at : m.start()])
+        if m[0] in "{[(":
             depth += 1
-            word = "" if depth == 1 else word
-        elif c in ",:}])" and depth == 1 or c in "}])":
-            if depth == 1 and c in ",:}" and re.fullmatch(r"[A-Za-z_$][\w$-]{0,60}", word.strip()):
-                out.append(word.strip())
-            if depth == 1:
-                word = " " * 70 if c == ":" else ""
-            depth -= c in "}])"
+        elif m[0] in "}])":
+            depth -= 1
         elif depth == 1:
-            word += c
-    return list(dict.fromkeys(out))
+            flat.append(m[0][1:-1])
+        at = m.end()
+    members = "".join(flat).split(",")
+    names = [x.partition(":")[0].strip() for x in members]
+    return list(dict.fromkeys(n for n in names if re.fullmatch(r"[A-Za-z_$][\w$-]{0,60}", n)))
 
 
 def api_calls(src: str) -> list[dict]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,10 +108,8 @@ def valid_pattern(df: DataFrame, pattern: str) -> bool:
     try:
         df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except Exception as error:  # py4j wraps the JVM's PatternSyntaxException
-        if "PatternSyntax" in str(error):
-            return False
-        raise
+    except IllegalArgumentException:
+        return False
 
 
 def parse_surface(query: str) -> tuple[str, str]:
