@@ -1,0 +1,337 @@
+"""Each operator on small rows against brute force, with nulls, blanks, ties, clashing columns and empty tables."""
+
+import hashlib
+import io
+import math
+import re
+import struct
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylens.llm import decontaminate, gbdt, hostrank, kneser_ney, licenses, mixing, near_copies, pii, toxicity, warc
+from quarrylens.llm.shared import WORD, held_out
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOC).withColumn("score", F.lit("clash"))
+
+
+ODD = [(None, "no id", "a"), (1, None, "a"), (2, "", None), (3, "  \n", "b"), (4, "same", "b"), (4, "same", "b"), (5, "w " * 30_000, "b")]
+
+
+# --- toxicity ---
+
+
+def test_toxicity_fold_and_match():
+    lexicon = toxicity.Lexicon({" ioser ": (6.0, 6.0, 6.0), " trash ": (5.0, 5.0, 5.0), " vequ": (1.0, 3.0, 6.0)}, 5.0, -2.0)
+    hit = lambda t: lexicon.density(t)[1]
+    assert hit("you LOSER!") == hit("y0u l0s3r") == hit("a lоser") == hit("lösèr") == 1  # zero, three; Cyrillic o; accents
+    assert hit("the trash can is full") == 0 and hit("trash talk") == 1
+    assert hit("closer losers") == 0 and hit("vequmo vequ") == 2
+    assert lexicon.density("loser")[0] > lexicon.density("loser " + "word " * 500)[0]
+    assert toxicity.Lexicon({}).density("anything") == (0.0, 0)
+
+
+def test_toxicity_learns_and_scores(spark):
+    rows = [(i, f"plain words number{i} here " + ("awful thing " if i % 3 == 0 else "nice day ") + f"w{i * 7}", "a") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs(spark, rows), labels)
+    assert any("awfui" in e for e in lexicon.entries)
+    out = toxicity.score(docs(spark, [*rows, *ODD]), lexicon).collect()
+    assert len(out) == 127 and all(0 <= r.score <= 1 for r in out)
+    assert all((r.score >= 0.7) == (r.doc_id % 3 == 0) for r in out if r.matches or r.doc_id in (1, 2) and r.matches)
+    kept = toxicity.reject(docs(spark, rows), lexicon)
+    assert kept.columns == docs(spark, rows).columns and {r.doc_id % 3 for r in kept.collect()} == {1, 2}
+    none = toxicity.learn(docs(spark, []), labels)
+    assert none.entries == {} and toxicity.score(docs(spark, []), none).count() == 0
+
+
+# --- WARC ---
+
+
+def zip64(name: bytes, data: bytes) -> bytes:
+    """A stored member whose sizes and offsets are all in ZIP64 fields."""
+    crc = zlib.crc32(data)
+    local = struct.pack("<4s5H3L2H", b"PK\3\4", 45, 0, 0, 0, 33, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<2H2Q", 1, 16, len(data), len(data)) + data
+    extra = struct.pack("<2H3Q", 1, 24, len(data), len(data), 0)
+    central = struct.pack("<4s6H3L5H2L", b"PK\1\2", 45, 45, 0, 0, 0, 33, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + name + extra
+    at = len(local)
+    end64 = struct.pack("<4sQ2H2L4Q", b"PK\6\6", 44, 45, 45, 0, 0, 1, 1, len(central), at)
+    locator = struct.pack("<4sLQL", b"PK\6\7", 0, at + len(central), 1)
+    return local + central + end64 + locator + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+
+
+def test_zip_directories():
+    data = zip64(b"archive/data.warc.gz", b"payload")
+    file = io.BytesIO(data)
+    (member,) = warc.central_directory(file, len(data))
+    at = warc.data_position(file, member)
+    assert (member.size, data[at : at + member.size]) == (7, b"payload")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", "y" * 99)
+    with pytest.raises(ValueError):
+        warc.data_position(buffer, warc.central_directory(buffer, len(buffer.getvalue()))[0])
+    with pytest.raises(ValueError):
+        warc.central_directory(io.BytesIO(b"no zip"), 6)
+
+
+def test_warc_round_trip(spark):
+    big = "é" * 700
+    rows = [(1, "http://a/", big), (7, "http://b/\r\nx", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "again", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
+    out = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=repr)
+    want = []
+    for i, _, html in rows:
+        payload = (html or "").encode()
+        old = len(payload) >= 1000 and i != 7
+        want.append((i or 0, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if old else "response", 7 if old else None))
+    assert out == sorted(want, key=repr)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+# --- decontamination ---
+
+ITEM = "If a train travels 60 km in 2 hours how far does the train travel in 2 days at the same speed"
+
+
+def test_decontamination(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, "too short"), (None, ITEM), (3, None)], "item_id long, text string")
+    rows = [
+        (10, f"Intro text here. {ITEM} and more follows", "a"),
+        (11, ITEM.replace("60", "75").replace("2 ", "5 ").upper().lower(), "a"),
+        (12, ITEM.replace("in 2 hours", "in 3 hours"), "a"),
+        (13, "a wholly clean document about other things and nothing of the kind at all", "a"),
+        (14, " ".join(ITEM.split()[:6]), "a"),
+        *ODD,
+    ]
+    out = {}
+    for r in decontaminate.find(docs(spark, rows), items).collect():
+        out.setdefault(r.doc_id, r)
+    assert out[10].item_id == 1 and not out[10].changed and out[10].share == 1.0
+    assert out[11].item_id == 1 and out[11].changed
+    assert out[12].item_id is None  # equal slots of the item stand against different values
+    assert out[13].item_id is None and out[14].item_id is None and out[4].item_id is None
+    assert {r.doc_id for r in decontaminate.clean(docs(spark, rows), items).collect()} == {12, 13, 14, None, 1, 2, 3, 4, 5}
+    blocks = {r.doc_id: r.item_id for r in decontaminate.find(docs(spark, rows[:5]), items, block_tokens=5).collect()}
+    assert blocks == {10: 1, 11: 1, 12: None, 13: None, 14: None}
+    assert decontaminate.find(docs(spark, []), items).count() == 0
+
+
+# --- licenses ---
+
+
+def test_licenses(spark):
+    full = dict(licenses.TEMPLATES)["ISC"]
+    rows = [(101, "words before. Released under the MIT License. And after", "a"), (102, full.upper().replace(" ", "\n"), "a"), (103, " ".join(w for k, w in enumerate(full.split()) if k % 20), "a"), (104, "under the license of the sea", "a"), (106, "Licensed under CC BY-NC 4.0.", "a"), *ODD]
+    out = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert (out[101].license, out[101].dice) == ("MIT", 1.0) and (out[101].first_word, out[101].n_words) == (2, 5)
+    assert out[102].license == "ISC" and out[102].dice == 1.0 and out[106].license == "CC-BY-NC-4.0"
+    assert out[103].license == "ISC" and 0.8 <= out[103].dice < 1
+    assert all(out[i].license is None for i in (104, 5, None))
+    for n in range(1, 60):
+        low, high = licenses.bounds(n, 0.8)
+        for m in range(1, 120):
+            possible = 2 * min(n, m) / (n + m) >= 0.8 - 1e-12
+            assert possible == (low <= m <= high)
+
+
+# --- URL filter ---
+
+
+def test_url_rules(spark):
+    rows = [(1, "https://WWW.Example.NET/en/x?q#f"), (2, "http://a.net/x"), (3, "http://a.net"), (4, "http://sub.example.com/de/"), (5, "http://x.org/fr/a"), (6, "http://org/fr/"), (7, "http://notexample.com/de/"), (8, None), (9, "no scheme/net/"), (10, "a://b.net/en/?x=://c"), (10, "a://b.net/en/?x=://c")]
+    pages = spark.createDataFrame([(i, u, None) for i, u in rows], "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in hostrank.judge(pages).collect()}
+    assert out[1] == ("www.example.net", "/en/x", "example.net/en/", "allow")
+    assert out[2] == ("a.net", "/x", "net/", "block") and out[3][:3] == ("a.net", "", None)
+    assert out[4][2:] == ("example.com/de/", "block") and out[5][2:] == out[6][2:] == ("org/fr/", "allow")
+    assert out[7][2] is None and out[8] == ("", "", None, "allow") and out[9] == ("", "", None, "allow")
+    assert out[10] == ("b.net", "/en/", "net/", "block")
+    assert hostrank.judge(pages.limit(0)).count() == 0
+
+
+def test_trust_spreads(spark):
+    link = lambda *hosts: "".join(f'<a class="x" href="http://{h}/">l</a>' for h in hosts)
+    rows = [(1, "http://good.org/fr/", link("friend.com")), (2, "http://friend.com/", ""), (3, "http://bad.net/", ""), (4, "http://farm.com/", link("bad.net", "bad.net")), (5, "http://far.com/", link("farm.com")), (6, "http://alone.com/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r for r in hostrank.judge(pages, rounds=10).collect()}
+    assert [out[i].verdict for i in range(1, 7)] == ["allow", "allow", "block", "block", "block", "allow"]
+    hosts = ["good.org", "friend.com", "bad.net", "farm.com", "far.com", "alone.com"]
+    edges = {("good.org", "friend.com"): 1.0, ("farm.com", "bad.net"): 1.0, ("far.com", "farm.com"): 1.0}
+    trust, distrust = dict.fromkeys(hosts, 0.0) | {"good.org": 1.0}, dict.fromkeys(hosts, 0.0) | {"bad.net": 1.0}
+    for _ in range(10):
+        trust = {h: 0.15 * (h == "good.org") + 0.85 * sum(trust[s] * w for (s, d), w in edges.items() if d == h) for h in hosts}
+        distrust = {h: 0.15 * (h == "bad.net") + 0.85 * sum(distrust[d] * w for (s, d), w in edges.items() if s == h) for h in hosts}
+    for k, h in enumerate(hosts, 1):
+        assert out[k].trust == pytest.approx(trust[h]) and out[k].distrust == pytest.approx(distrust[h])
+
+
+# --- mixing ---
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (1 + i % 7), "abc"[i % 11 // 5] if i % 13 else None) for i in range(300)] + ODD
+    out = mixing.mix(docs(spark, rows)).collect()
+    assert len(out) == len(rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(re.findall(WORD, t or ""))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, full = {}, set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[o] for o in names if o not in full) for s in names if s not in full}
+        more = {s for s, x in share.items() if x > 3 * sizes[s]}
+        if not more:
+            target = share | {s: 3 * sizes[s] for s in full}
+            break
+        full |= more
+    taken = Counter()
+    for r in out:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    epochs = {s: int(target[s] // sizes[s]) for s in names}
+    assert all(r.taken >= epochs[r.source] * r.size for r in out)
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()), key=repr)
+    assert mixing.mix(docs(spark, [])).count() == 0 and {r.taken for r in mixing.mix(docs(spark, ODD[1:3])).collect()} == {0}
+
+
+def test_quality_raises_the_share(spark):
+    rows = [(i, "w", "a") for i in range(2000)] + [(i, "w", "b") for i in range(2000, 2100)]
+    out = mixing.mix(docs(spark, rows), F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(0.25), weights=(1, 1)).where("source = 'a' and taken > 0")
+    assert out.where("doc_id % 2 = 0").count() > 0.8 * out.count() / 2
+
+
+# --- personal data ---
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(digits[::-1])) % 10 == 0
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return pii.ordered(out)
+
+
+TEXTS = ["a.b@c.d.e x@y @z.q a@b@c.dd", "1.2.3.4.5 999.1.1.1 01.2.3.255", "4040120712871565 4040 1207-1287 1565 12345678901234567890", "+1 (953) 555-3362 +12 +1-2-3", "é +49 (0)30 1234567. 10.0.0.1@x.y", "a" * 50_000 + "@", "1" * 50_000, "me@-.- 1.1.1.1.1.1.1.1"]
+
+
+def test_base_spans():
+    for t in TEXTS:
+        assert pii.ordered(pii.base_spans(t)) == brute_spans(t), t[:60]
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("a@.1+- (2)é9")) for _ in range(rng.integers(1, 40)))
+        assert pii.ordered(pii.base_spans(t)) == brute_spans(t), t
+
+
+def test_pii_learns_adds_and_redacts(spark):
+    rows = [(i, f"text {i} mail a{i}@x.org and 4040120712871565 or {100000000000 + i} and password={'ab12cd34ef56' + str(i)} token: plainwords", "a") for i in range(200)]
+    judge = pii.learn(docs(spark, rows))
+    out = pii.find(docs(spark, [*rows, *ODD]), judge).collect()
+    assert len(out) == 207
+    first = next(r for r in out if r.doc_id == 5 and r.spans)
+    assert set(first.base.split(",")) <= set(first.spans.split(",")) and (first.n_email, first.n_card) == (1, 1)
+    assert any(s.startswith("secret:") for s in first.spans.split(","))
+    red = pii.redact(docs(spark, [*rows, *ODD]), judge).where("doc_id = 7").first()
+    assert "[EMAIL]" in red.text and "[CARD]" in red.text and red.n_chars == len(red.text)
+    assert pii.learn(docs(spark, [])).spans("a@b.cc") == [("email", 0, 6)]
+    assert pii.redacted("abcdef", [("email", 1, 4), ("ip", 2, 5)]) == "a[EMAIL]f"
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    model = gbdt.calibrate(gbdt.fit(x[:1500], y[:1500]), x[1500:], y[1500:])
+    assert ((model.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.97
+    assert gbdt.threshold(np.array([0.9, 0.8, 0.7, 0.1]), np.array([1, 1, 0, 1]), 1.0) == 0.8
+    assert gbdt.threshold(np.array([0.9]), np.array([0]), 0.9) > 1
+
+
+# --- language model ---
+
+
+def test_kneser_ney(spark):
+    rows = [(i, t, "a") for i, t in enumerate(["the cat sat", "The cat ran", "a dog sat on the mat", "the the the", "", "unknown words only here", "a cat", "dog ran on"] * 4)] + ODD[:4]
+    out = kneser_ney.train_and_score(docs(spark, rows)).collect()
+    ids = {r[0]: r[1] for r in spark.createDataFrame([(r[0],) for r in rows], "i long").select("i", held_out(F.col("i"), 5)).collect()}
+    tokens = lambda t: [*(re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))), None]
+    uni, bi = Counter(), Counter()
+    for i, t, _ in rows:
+        if not ids[i]:
+            w = tokens(t)
+            uni.update(w)
+            bi.update(zip(["<s>", *w[:-1]], w))
+    n, v = uni.total(), len(uni)
+    before = Counter(w for _, w in bi)
+    k = sum(before.values())
+    counts = lambda c: np.array([sum(x == m for x in c.values()) for m in (1, 2, 3, 4)])
+    d, e = kneser_ney.discounts(counts(bi)), kneser_ney.discounts(counts(before))
+    left = sum(e[min(x, 3)] for x in before.values()) / k
+    context = Counter()
+    rest = Counter()
+    for (u, _), c in bi.items():
+        context[u] += c
+        rest[u] += d[min(c, 3)]
+
+    def p(u, w):
+        low = max(before[w] - e[min(before[w], 3)], 0) / k + left / (v + 1)
+        return max(bi[u, w] - d[min(bi[u, w], 3)], 0) / context[u] + rest[u] / context[u] * low if context[u] else low
+
+    got = Counter()
+    texts = {}
+    for i, t, _ in rows:
+        w = tokens(t)
+        want = (len(w), sum(uni[x] > 0 for x in w), round(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 8), round(sum(math.log10(p(u, x)) for u, x in zip(["<s>", *w[:-1]], w)), 6))
+        texts[i, want] = texts.get((i, want), 0) + 1
+    for r in out:
+        assert r.held_out == ids[r.doc_id] and r.train_tokens == n
+        got[r.doc_id, (r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 6))] += 1
+    assert dict(got) == texts
+    total = sum(p("the", w) for w in uni) + p("the", "never seen")
+    assert total == pytest.approx(1.0, abs=1e-6)
+    assert kneser_ney.train_and_score(docs(spark, [])).count() == 0
+
+
+# --- near copies ---
+
+
+def test_near_copies(spark):
+    word = lambda k: f"w{k * 7919 % 1000:03d}x"
+    base = [word(k) for k in range(200)]
+    edit = lambda at: " ".join([*base[:at], "changed", *base[at + 1 :]])
+    rows = [(50, " ".join(base), "a"), (7, " ".join(base), "a"), (9, edit(3), "a"), (8, edit(100), "a"), (20, " ".join(word(k) for k in range(300, 500)), "a"), (21, " ".join(base[:60] + [word(k) for k in range(600, 740)]), "a"), *ODD, (30, "", "z"), (31, None, "z")]
+    frame = docs(spark, rows)
+    kept = near_copies.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 1, 2, 3, 4, 5, 7, 20, 21]
+    assert near_copies.keep_one(frame.limit(0)).count() == 0
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    base = [f"word{k:03d}" for k in range(300)]
+    rows = [(i, " ".join([*base[: 3 + i * 2], f"edit{i:04d}", *base[4 + i * 2 :]]), "a") for i in range(60)] + [(100 + i, " ".join(f"other{i}n{k}" for k in range(50)), "a") for i in range(20)]
+    monkeypatch.setattr(near_copies, "BUCKET_LIMIT", 4)
+    monkeypatch.setattr(near_copies, "TILE", 16)
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == [0, *range(100, 120)]
