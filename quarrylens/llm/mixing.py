@@ -46,18 +46,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return ranked.select("source", "source_size", F.when(full, (most * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
+def label_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) from labels (doc_id, quality 0/1): 2 for high, 0.5 for low."""
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return best.where("label in (0, 1)").select("doc_id", F.when(F.col("label") == 1, 2.0).otherwise(0.5).alias("quality"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target and taken (words, repeats counted).
 
-    ``quality`` is a positive column of ``docs``; null counts as 1. Null sources are one source, null texts have size 0
+    ``quality`` is a table (doc_id, quality), a positive number each; absent and null ones count as 1, the largest of
+    a repeated doc_id is taken. It is joined once the texts are counted, so no text is shuffled. Null sources are one source, null texts have size 0
     and are taken 0 words. Equal keys are ordered by id, size and a hash of the text. An empty table gives none.
 
     One source may hold most rows: prefix sums are made within ranges of the keys, which are sums over at most a few
     thousandths of a source, and the ranges' totals are added before.
     """
-    weight = F.greatest(F.coalesce(quality.cast("double") if quality is not None else F.lit(1.0), F.lit(1.0)), F.lit(1e-9))
-    key = -F.log(uniform(F.col("doc_id"))) / weight
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    if quality is not None:
+        best = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+        base = base.hint("merge").join(best, "doc_id", "left")
+    else:
+        base = base.withColumn("quality", F.lit(1.0))
+    weight = F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-9))
+    base = base.withColumn("key", -F.log(uniform(F.col("doc_id"))) / weight).drop("quality")
     base = base.withColumn("part", F.floor(F.col("key") / (1 + F.col("key")) * RANGES).cast("int"))
     base = base.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     base = store(base, "sizes")

@@ -41,10 +41,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled of high quality weigh 2, of low 0.5, others 1."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weighed = docs.join(labels, "doc_id", "left")
-    mixed = mixing.mix(weighed, F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0))
+    quality = mixing.label_quality(read_table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), quality)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

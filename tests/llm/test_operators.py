@@ -208,7 +208,8 @@ def test_mixing(spark):
 
 def test_quality_raises_the_share(spark):
     rows = [(i, "w", "a") for i in range(2000)] + [(i, "w", "b") for i in range(2000, 2100)]
-    out = mixing.mix(docs(spark, rows), F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(0.25), weights=(1, 1)).where("source = 'a' and taken > 0")
+    quality = spark.range(2100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(0.25).alias("quality"))
+    out = mixing.mix(docs(spark, rows), quality, weights=(1, 1)).where("source = 'a' and taken > 0")
     assert out.where("doc_id % 2 = 0").count() > 0.8 * out.count() / 2
 
 
