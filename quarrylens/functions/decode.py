@@ -6,7 +6,6 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -364,9 +363,3 @@ def map_candidates(url: str) -> list[str]:
     bare = url.split("?")[0].split("#")[0]
     tail = bare.rsplit("/", 1)
     return list(dict.fromkeys([f"{bare}.map", re.sub(r"\.m?js$", ".map", bare), f"{tail[0]}/maps/{tail[-1]}.map" if len(tail) == 2 else f"{bare}.map"]))
-
-
-def iter_source_files(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
-    for url, text in rows:
-        for f in source_map_files(text or ""):
-            yield url, f["path"], f["content"]
