@@ -63,11 +63,11 @@ def candidates(token_index: DataFrame, tri_index: DataFrame, query: str) -> Data
     return by_token.union(by_tri).distinct()
 
 
-def search(records: DataFrame, query: str, mode: str = "substring", limit: int | None = 200, scope: list[str] | None = None, around: int = 60) -> DataFrame:
+def search(records: DataFrame, query: str, mode: str = "substring", limit: int | None = 200, scope: list[str] | None = None, around: int = 60, prefilter: bool = True) -> DataFrame:
     """Scored hits of records (text, norm, resource_url, resource_kind, ord): score, start, length and context, best first.
 
     A pattern that isn't valid gives no rows, as does an empty query. Fuzzy hits are scored in Arrow batches, only for
-    texts of at least the needle's length.
+    texts of at least the needle's length and, with ``prefilter``, with a quarter of its trigrams.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
@@ -93,7 +93,12 @@ def search(records: DataFrame, query: str, mode: str = "substring", limit: int |
             hits = records.withColumn("__m", found).where(F.length("__m") > 0).withColumn("score", F.lit(0.95))
             hits = hits.withColumn("start", F.instr("text", F.col("__m")) - 1).withColumn("length", F.length("__m")).drop("__m")
     else:
-        long_enough = records.where(F.length("norm") >= len(norm)).withColumn("__f", fuzzy.fuzzy_match(F.col("norm"), norm))
+        worth = F.length("norm") >= len(norm)
+        grams = sorted({norm[i : i + 3] for i in range(min(len(norm) - 2, 32))})
+        if prefilter and grams:
+            votes = reduce(lambda a, b: a + b, [F.col("norm").contains(g).cast("int") for g in grams])
+            worth = worth & (votes >= max(1, len(grams) // 4))
+        long_enough = records.where(worth).withColumn("__f", fuzzy.fuzzy_match(F.col("norm"), norm))
         bonus = F.when(text.contains(query), 0.15).otherwise(0.0) + F.when(low.contains(query.lower()), 0.08).otherwise(0.0) + F.when(F.col("norm").startswith(norm), 0.05).otherwise(0.0)
         hits = long_enough.where(F.col("__f.score") >= FUZZY_LEAST).withColumn("score", F.round(F.least(F.lit(1.0), F.col("__f.score") + bonus), 3))
         hits = hits.withColumn("start", F.coalesce(F.get(F.col("__f.spans"), F.lit(0))["s"], F.lit(0))).withColumn("length", F.lit(len(norm))).drop("__f")

@@ -162,4 +162,4 @@ def reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w_rank_users", "SELECT user_id, n, rank() OVER (ORDER BY n DESC) AS r FROM (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) QUALIFY r <= 20")
 def rank_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.rank().over(Window.orderBy(F.desc("n")))).where("r <= 20")
+    return counts.withColumn("r", F.rank().over(Window.orderBy(F.desc("n"))).cast("long")).where("r <= 20")
