@@ -186,60 +186,46 @@ class Items:
         return True, changed
 
 
+def item_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Items]:
+    """The benchmark (item_id, text) in blocks of about ``block_tokens`` words at most, by a hash of item_id."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_tokens))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text")
+        yield Items([(r.item_id, r.text) for r in own.collect()])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per row of ``docs``: doc_id, item_id of the item it contains most of (null: none), share and changed (slots differ).
 
     The benchmark (item_id, text) is sent to all tasks in blocks of at most about ``block_tokens`` words, which bounds
-    what is broadcast; with more than one block, each document keeps the best of its answers. Items of under
-    ``SHORTEST`` tokens, or without id or text, can't be found. Null and empty documents contain nothing; repeated rows
-    are answered each.
+    what is broadcast; the blocks follow each other, and a row keeps the best answer so far, the earlier of equal ones.
+    Items of under ``SHORTEST`` tokens, or without id or text, can't be found. Null and empty documents contain nothing;
+    repeated rows are answered each.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_tokens))
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    judged = None
-    for block in range(blocks):
-        found = Items([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()])
-        part = _judged(base, found)
-        judged = part if judged is None else judged.union(part)
-    if blocks == 1:
-        return judged.drop("row")
-    best = F.max_by(F.struct("item_id", "share", "changed"), F.coalesce("share", F.lit(0.0)))
-    return judged.groupBy("doc_id", "row").agg(best.alias("b")).select("doc_id", "b.item_id", "b.share", "b.changed")
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, text string, item_id long, share double, changed boolean"
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("share"), F.lit(False).alias("changed"))
+    for items in item_blocks(benchmark, block_tokens):
 
+        def batches(parts: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            known = Words()
+            for part in parts:
+                before = zip(part.column("item_id").to_pylist(), part.column("share").to_pylist(), part.column("changed").to_pylist(), strict=True)
+                found = [max(old, items.judge(template(t.as_py(), known)) or (None, 0.0, False), key=lambda f: f[1]) for t, old in zip(part.column("text"), before, strict=True)]
+                columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *columns], names=["doc_id", "text", "item_id", "share", "changed"])
 
-def _judged(base: DataFrame, items: Items) -> DataFrame:
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            found = [items.judge(template(t, known)) or (None, 0.0, False) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1 for t in texts], pa.int64()),
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.float64()),
-                    pa.array([f[2] for f in found], pa.bool_()),
-                ],
-                names=["doc_id", "row", "item_id", "share", "changed"],
-            )
-
-    return base.mapInArrow(batches, "doc_id long, row long, item_id long, share double, changed boolean")
+        rows = rows.mapInArrow(batches, schema)
+    return rows.select("doc_id", "item_id", "share", "changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, all columns kept."""
     small_batches(docs.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_TOKENS))
     at, schema = docs.columns.index("text"), docs.schema
-    for block in range(blocks):
-        found = Items([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()])
+    for found in item_blocks(benchmark):
 
         def batches(parts: Iterator[pa.RecordBatch], found: Items = found) -> Iterator[pa.RecordBatch]:
             known = Words()
