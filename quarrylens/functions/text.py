@@ -12,6 +12,11 @@ SEPARATORS = "-_./\\:;|+~*% "
 WORD_RUN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once a row, however often a lambda in ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(c: Column) -> Column:
     """ASCII lower case without separators; other letters are left as they are."""
     return F.translate(c, UPPER + SEPARATORS, LOWER)
@@ -56,12 +61,14 @@ def snippet(text: Column, start: Column, length: Column, around: int = 60) -> Co
 
 def shannon(s: Column) -> Column:
     """Bits per character over the frequencies of characters; 0 for an empty or null text."""
-    chars = F.split(F.coalesce(s, F.lit("")), "")
     n = F.length(F.coalesce(s, F.lit(""))).cast("double")
-    kept = F.filter(chars, lambda c: F.length(c) > 0)
-    counts = F.transform(F.array_distinct(kept), lambda c: F.size(F.filter(kept, lambda x: x == c)).cast("double"))
-    bits = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - k / n * F.log2(k / n))
-    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
+
+    def bits(kept: Column) -> Column:
+        counts = F.transform(F.array_distinct(kept), lambda c: F.size(F.filter(kept, lambda x: x == c)).cast("double"))
+        return F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - k / n * F.log2(k / n))
+
+    chars = F.filter(F.split(F.coalesce(s, F.lit("")), ""), lambda c: F.length(c) > 0)
+    return F.when(n == 0, F.lit(0.0)).otherwise(let(chars, bits))
 
 
 def format_bytes(n: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.text import let
 
 UNIT = "resource_url string, ord int, kind string, text string, line int, extra string"
 
@@ -77,12 +78,11 @@ def html_units(pages: DataFrame, url: str = "url", html: str = "html", chunk: in
     """Units of HTML bodies: links, scripts, frames, forms, routes, meta tags, inputs, data URLs, import maps, text chunks."""
     body = F.col(html)
     links = F.filter(all_of(body, HREF), lambda x: ~x.rlike(SKIPPED_LINK))
-    routes = F.transform(F.filter(links, lambda x: urls.classify_path(x) == "route"), lambda x: urls.normalize_route(x))
+    routes = F.transform(F.filter(links, lambda x: x.startswith("/") & (urls.classify_path(x) == "route")), lambda x: urls.normalize_route(x))
     metas = F.zip_with(all_of(body, META, 1), all_of(body, META, 2), lambda k, v: F.concat_ws(": ", k, v))
     maps = F.flatten(F.transform(all_of(body, IMPORT_MAP), lambda j: F.regexp_extract_all(j, F.lit(r'"[^"]{1,200}"\s*:\s*"([^"]{1,200})"'), F.lit(1))))
-    shown = visible_text(body)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length(shown) - 1) / chunk).cast("int")), lambda i: F.substring(shown, i * chunk + 1, F.lit(chunk)))
-    text = F.when(F.length(shown) > 0, chunks).otherwise(F.array().cast("array<string>"))
+    cut = lambda shown: F.transform(F.sequence(F.lit(0), F.floor((F.length(shown) - 1) / chunk).cast("int")), lambda i: F.substring(shown, i * chunk + 1, F.lit(chunk)))
+    text = let(visible_text(body), lambda shown: F.when(F.length(shown) > 0, cut(shown)).otherwise(F.array().cast("array<string>")))
     found = [("dom-link", links), ("script", all_of(body, SCRIPT_SRC)), ("iframe", all_of(body, IFRAME_SRC)), ("form", all_of(body, FORM, 0)), ("route", routes), ("meta-tag", metas), ("form-input", all_of(body, INPUT)), ("dom-data-url", all_of(body, DATA_URL)), ("importmap", maps), ("dom-text", text)]
     return _exploded(pages, url, _units(found))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
-from ..functions.text import WORD_RUN, normalize, tokenize, trigrams
+from ..functions.text import WORD_RUN, let, normalize, tokenize, trigrams
 
 MODES = ("exact", "substring", "normalized", "regex", "fuzzy")
 # Scores of the surfaces.
@@ -161,10 +161,12 @@ def search_surfaces(surfaces: dict[str, DataFrame], query: str, mode: str = "sub
 
 def matches_in_text(text: Column, query: str, most: int = 10) -> Column:
     """0-based offsets of case-insensitive occurrences that don't overlap."""
-    low = F.lower(text)
-    pieces = F.slice(F.split(low, "\\Q" + query.lower() + "\\E", -1), 1, most + 1)
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda acc, x: acc + F.length(x)) + i * len(query))
-    return F.slice(ends, 1, F.size(pieces) - 1)
+
+    def ends(pieces: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda acc, x: acc + F.length(x))
+        return F.slice(F.transform(pieces, lambda p, i: before(i) + i * len(query)), 1, F.size(pieces) - 1)
+
+    return let(F.slice(F.split(F.lower(text), "\\Q" + query.lower() + "\\E", -1), 1, most + 1), ends)
 
 
 __all__ = ["MODES", "WORD_RUN", "add_units", "candidates", "matches_in_text", "postings", "search", "search_surfaces", "trigram_postings"]
