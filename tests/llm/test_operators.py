@@ -336,3 +336,31 @@ def test_crowded_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BUCKET_LIMIT", 4)
     monkeypatch.setattr(near_copies, "TILE", 16)
     assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == [0, *range(100, 120)]
+
+
+def groups_by_brute_force(rows):
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t, _ in rows}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return sorted({find(i) for i in sets})
+
+
+def test_cut_and_extended_copies(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{k}" for k in range(800)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(vocabulary, int(rng.integers(60, 400))))
+        rows += [(3 * i, " ".join(w), "a"), (3 * i + 1, " ".join(w[: int(len(w) * 0.84)]), "a"), (3 * i + 2, " ".join(w + list(rng.choice(vocabulary, int(len(w) * 0.18)))), "a")]
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == groups_by_brute_force(rows)
