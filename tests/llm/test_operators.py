@@ -364,3 +364,15 @@ def test_cut_and_extended_copies(spark):
         w = list(rng.choice(vocabulary, int(rng.integers(60, 400))))
         rows += [(3 * i, " ".join(w), "a"), (3 * i + 1, " ".join(w[: int(len(w) * 0.84)]), "a"), (3 * i + 2, " ".join(w + list(rng.choice(vocabulary, int(len(w) * 0.18)))), "a")]
     assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == groups_by_brute_force(rows)
+
+
+def test_copies_within_one_template(spark):
+    rng = np.random.default_rng(5)
+    long_words = [f"template{k}" for k in range(12)]
+    rows = []
+    for i in range(150):
+        short = [str(x) for x in rng.integers(0, 1000, 60)]
+        rows.append((2 * i, " ".join(short[:30] + long_words + short[30:]), "a"))
+        rows.append((2 * i + 1, " ".join([*short[:30], *long_words, *short[30:-1], "1x"]), "a"))
+    kept = sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect())
+    assert kept == groups_by_brute_force(rows) == list(range(0, 300, 2))
