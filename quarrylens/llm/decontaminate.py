@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and stripped of punctuation; numbers, units and names become typed placeholders, so that a
-question with other values has the same template. Windows of ``WINDOW`` template tokens are hash-joined with those of
-the benchmark items. A document that shares windows with an item is then aligned with it: the tokens the shared windows
-cover must be at least ``LEAST_SHARE`` of the item's, and the slots must be consistent: equal values of a type in the
-item stand against equal values in the document and different against different ones, as they do in a
-re-parameterised question.
+question with other values has the same template. Windows of ``WINDOW`` template tokens, or of half an item's tokens if
+these are fewer, are hash-joined with those of the benchmark items. A document that shares windows with an item is then
+aligned with it: the tokens that stand where the item's do must be at least ``LEAST_SHARE`` of the item's, and the
+slots in the shared windows must be consistent: equal values of a type in the item stand against equal values in the
+document and different against different ones, as they do in a re-parameterised question. Other slots count if they
+are consistent with these.
 """
 
 from __future__ import annotations
@@ -104,18 +105,20 @@ def template(text: str | None, known: Words) -> Template:
     return Template(hashes, words)
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` tokens; a text with fewer has one of all, none if under ``SHORTEST``."""
+def window_size(tokens: int, size: int) -> int:
+    """Length of an item's windows: what one changed token leaves in a row, from ``SHORTEST`` to ``size`` tokens."""
+    return min(size, max(SHORTEST, tokens // 2))
+
+
+def windows(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of each run of ``size`` tokens) for each of the ascending ``sizes`` the text is long enough for."""
     n = len(hashes)
-    if n < size:
-        if n < SHORTEST:
-            return np.empty(0, np.uint64)
-        size = n
-    out = np.zeros(n - size + 1, np.uint64)
-    for k in range(size):
-        out = (out ^ hashes[k : n - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(n, sizes[-1]) if sizes else 0):
+        out = (out[: n - k] ^ hashes[k:]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out
+        if k + 1 in sizes:
+            yield k + 1, out
 
 
 class Items:
@@ -125,22 +128,19 @@ class Items:
         known = Words()
         self.size = size
         self.templates = {item: t for item, t in ((i, template(text, known)) for i, text in rows) if len(t.hashes) >= SHORTEST}
-        found = [(int(h), item, at) for item, t in self.templates.items() for at, h in enumerate(windows(t.hashes, size))]
+        found = [(int(h), item, at) for item, t in self.templates.items() for _, own in windows(t.hashes, [window_size(len(t.hashes), size)]) for at, h in enumerate(own)]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for h, item, at in found:
             self.places[h].append((item, at))
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
-        self.short = sorted({len(t.hashes) for t in self.templates.values() if len(t.hashes) < size})
+        self.sizes = sorted({window_size(len(t.hashes), size) for t in self.templates.values()})
         self.filter = np.zeros(1 << 22, dtype=bool)
         self.filter[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray) -> list[tuple[int, int]]:
         """(place in the document, window hash) of shared windows."""
         out = []
-        for size in [*self.short, self.size]:
-            if len(hashes) < size:
-                continue
-            found = windows(hashes, size)
+        for _, found in windows(hashes, self.sizes):
             maybe = np.flatnonzero(self.filter[(found & np.uint64((1 << 22) - 1)).astype(np.int64)])
             out += [(int(p), int(found[p])) for p in maybe if int(found[p]) in self.places]
         return out
@@ -157,33 +157,47 @@ class Items:
             by_item[item][shift] = starts
         for item, shifts in by_item.items():
             own = self.templates[item]
-            size = min(self.size, len(own.hashes))
+            size = window_size(len(own.hashes), self.size)
+            aligned = {shift: self._aligned(own, doc, shift) for shift in shifts}
             for shift in shifts:
                 # Shared windows of nearly the same shift belong to one passage; words may have been put in or left out.
-                near = {a: s for s in sorted(shifts, key=lambda s: -abs(s - shift)) if abs(s - shift) <= 5 for a in shifts[s]}
+                nearest = [s for s in sorted(shifts, key=lambda s: -abs(s - shift)) if abs(s - shift) <= 5]
+                near = {a: s for s in nearest for a in shifts[s]}
                 covered = {a + k: s for a, s in near.items() for k in range(size)}
-                share = len(covered) / len(own.hashes)
-                if share < LEAST_SHARE or best and share <= best[1]:
+                others = {at: s for s in nearest for at in aligned[s] if at not in covered}
+                most = (len(covered) + len(others)) / len(own.hashes)
+                if most < LEAST_SHARE or best and most <= best[1]:
                     continue
-                consistent, changed = self._slots(own, doc, covered)
-                if consistent:
+                consistent, changed, fitting = self._slots(own, doc, covered, others)
+                share = (len(covered) + fitting) / len(own.hashes)
+                if consistent and share >= LEAST_SHARE and not (best and share <= best[1]):
                     best = (item, share, changed)
         return best
 
     @staticmethod
-    def _slots(own: Template, doc: Template, covered: dict[int, int]) -> tuple[bool, bool]:
+    def _aligned(own: Template, doc: Template, shift: int) -> list[int]:
+        """Places of the item whose token is that of the document at the place moved by ``shift``."""
+        low, high = max(0, -shift), min(len(own.hashes), len(doc.hashes) - shift)
+        return (low + np.flatnonzero(own.hashes[low:high] == doc.hashes[low + shift : high + shift])).tolist()
+
+    @staticmethod
+    def _slots(own: Template, doc: Template, covered: dict[int, int], others: dict[int, int]) -> tuple[bool, bool, int]:
+        """Whether the covered slots are consistent, whether any value differs, and how many of the others fit."""
         there: dict[tuple[str, str], str] = {}
         back: dict[tuple[str, str], str] = {}
-        changed = False
-        for at, shift in covered.items():
+        changed, fitting = False, 0
+        for at, shift in [*covered.items(), *others.items()]:
             kind, value = own.slots(at)
-            if not kind:
-                continue
-            other_kind, other = doc.slots(at + shift)
-            if other_kind != kind or there.setdefault((kind, value), other) != other or back.setdefault((kind, other), value) != value:
-                return False, False
-            changed |= other != value
-        return True, changed
+            if kind:
+                other_kind, other = doc.slots(at + shift)
+                if other_kind != kind or there.get((kind, value), other) != other or back.get((kind, other), value) != value:
+                    if at in covered:
+                        return False, False, 0
+                    continue
+                there[kind, value], back[kind, other] = other, value
+                changed |= other != value
+            fitting += at not in covered
+        return True, changed, fitting
 
 
 def item_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Items]:

@@ -125,6 +125,17 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("count", [10, 13, 15, 16, 19])
+def test_short_items_with_one_changed_word(count):
+    item = "when every farmer in this valley sells fresh apples and ripe pears at our market which stall earns more money"
+    words = item.split()[:count]
+    items = decontaminate.Items([(1, " ".join(words))])
+    for at in range(1, count):
+        near = "prose before it " + " ".join([*words[:at], "changed", *words[at + 1 :]]) + " and prose after"
+        assert items.judge(decontaminate.template(near, decontaminate.Words())) == (1, (count - 1) / count, False), at
+    assert items.judge(decontaminate.template(" ".join(words[: count // 2]) + " and then wholly other prose follows here", decontaminate.Words())) is None
+
+
 # --- licenses ---
 
 
