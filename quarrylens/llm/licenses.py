@@ -1,8 +1,8 @@
 """License scan: normalised text against license templates by the Dice coefficient over word bigrams.
 
-A text's words are lower-cased and stripped of punctuation. For each template, the places where one of its bigrams
-occurs are joined to spans over small gaps; a span whose number of bigrams is out of the bounds that a Dice
-coefficient of ``LEAST`` allows (between b * d / (2 - d) and b * (2 - d) / d for a template of b) isn't compared.
+A text's words are lower-cased and stripped of punctuation. For each template, all windows that begin and end with one
+of its bigrams are compared whose number of bigrams is in the bounds that a Dice coefficient of ``LEAST`` allows
+(between b * d / (2 - d) and b * (2 - d) / d for a template of b); other windows can't be the best.
 """
 
 from __future__ import annotations
@@ -105,6 +105,28 @@ class Scanner:
         out = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ids[1:]
         return out ^ out >> np.uint64(31)
 
+    def best_window(self, k: int, words: list[str], places: list[int]) -> tuple[float, int, int]:
+        """Dice coefficient with template ``k``, number of words and negated first word of the best window over ``places``."""
+        low, high = bounds(self.sizes[k], self.least)
+        bag, size, stop = self.bags[k], self.sizes[k], 0
+        pairs = [(words[p], words[p + 1]) for p in places]
+        best = (0.0, 0, 0)
+        for i, a in enumerate(places):
+            while stop < len(places) and places[stop] - a < high:
+                stop += 1
+            # At least ``low`` bigrams must be shared, whatever the window's size.
+            if stop - i < low:
+                continue
+            seen: dict[tuple[str, str], int] = {}
+            both = 0
+            for pair, p in zip(pairs[i:stop], places[i:stop], strict=True):
+                n = seen[pair] = seen.get(pair, 0) + 1
+                if n <= bag.get(pair, 0):
+                    both += 1
+                    if both >= low:
+                        best = max(best, (2 * both / (size + p - a + 1), p - a + 2, -a))
+        return best
+
     def scan(self, text: str | None) -> tuple[str | None, float, int, int]:
         """License, Dice coefficient, first word and number of words of the best span; the earliest and largest wins ties."""
         raw = (text or "").lower().split()
@@ -124,22 +146,13 @@ class Scanner:
                 by_template[k].append(p)
         words = None
         for k in sorted(by_template):
-            low, high = bounds(self.sizes[k], self.least)
-            if len(by_template[k]) < self.least * low:
+            low, _ = bounds(self.sizes[k], self.least)
+            if len(by_template[k]) < low:
                 continue
-            gap = max(3, self.sizes[k] // 10)
-            spans, first = [], by_template[k][0]
-            for a, b in zip(by_template[k], [*by_template[k][1:], None], strict=True):
-                if b is None or b - a > gap:
-                    spans.append((first, a + 2))
-                    first = b
-            for a, b in spans:
-                if not low <= b - a - 1 <= high:
-                    continue
-                words = words or normalised(text)
-                value = dice(Counter(zip(words[a:b], words[a + 1 : b])), self.bags[k])
-                if value >= self.least and (value, b - a, -a) > (best[1], best[3], -best[2]):
-                    best = (self.names[k], value, a, b - a)
+            words = words or normalised(text)
+            value, size, first = self.best_window(k, words, by_template[k])
+            if value >= self.least and (value, size, first) > (best[1], best[3], -best[2]):
+                best = (self.names[k], value, -first, size)
         return best
 
 

@@ -154,6 +154,16 @@ def test_licenses(spark):
             assert possible == (low <= m <= high)
 
 
+def test_repeated_licenses():
+    scanner, texts = licenses.Scanner(), dict(reversed(licenses.TEMPLATES))
+    full = texts["MIT"]
+    assert scanner.scan("Released under the MIT License.\nReleased under the MIT License.") == ("MIT", 1.0, 0, 5)
+    assert scanner.scan(f"notice {full} and here are eight words between both of them {full}") == ("MIT", 1.0, 1, len(full.split()))
+    assert scanner.scan(f"{full} {full} {full}") == ("MIT", 1.0, 0, len(full.split()))
+    gap = full.split()
+    assert scanner.scan(" ".join([*gap[:80], *(f"other{k}" for k in range(30)), *gap[80:]]))[0] == "MIT"
+
+
 # --- URL filter ---
 
 
