@@ -281,6 +281,12 @@ def test_pii_learns_adds_and_redacts(spark):
     assert pii.redacted("abcdef", [("email", 1, 4), ("ip", 2, 5)]) == "a[EMAIL]f"
 
 
+def test_long_secrets_and_mixed_case_contacts():
+    text = "set token=" + "aB3x" * 200 + " now"
+    assert ("secret", 10, 810) in pii.loose_candidates(text)
+    assert pii.loose_candidates("to jane [At] example [Dot] com") == [("contact", 3, 30)]
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
