@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fuzzy
 from ..functions.text import WORD_RUN, let, normalize, tokenize, trigrams
@@ -169,4 +174,71 @@ def matches_in_text(text: Column, query: str, most: int = 10) -> Column:
     return let(F.slice(F.split(F.lower(text), "\\Q" + query.lower() + "\\E", -1), 1, most + 1), ends)
 
 
-__all__ = ["MODES", "WORD_RUN", "add_units", "candidates", "matches_in_text", "postings", "search", "search_surfaces", "trigram_postings"]
+class Needles:
+    """Texts searched for all at once: by a hash of their first octets, then as a whole at the place found."""
+
+    def __init__(self, texts: list[str]):
+        self.places: dict[tuple[int, int], list[tuple[int, bytes]]] = defaultdict(list)
+        self.always = [k for k, t in enumerate(texts) if not t]
+        for k, t in enumerate(texts):
+            if t:
+                own = t.encode("utf-8", "surrogatepass")
+                size = 32 if len(own) >= 32 else min(8, len(own))
+                self.places[size, int(self._heads(own, size)[0])].append((k, own))
+        self.sizes = sorted({size for size, _ in self.places})
+        self.filters = {size: np.zeros(1 << 20, dtype=bool) for size in self.sizes}
+        for size, head in self.places:
+            self.filters[size][head & (1 << 20) - 1] = True
+
+    @staticmethod
+    def _heads(octets: bytes, size: int) -> np.ndarray:
+        """A hash of the ``size`` octets from each place on."""
+        n, step = len(octets) - size + 1, min(size, 8)
+        raw = np.frombuffer(octets, np.uint8)
+        words = np.zeros(len(octets) - step + 1, np.uint64)
+        for k in range(step):
+            words |= raw[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+        out = np.zeros(n, np.uint64)
+        for k in range(0, size, step):
+            out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def within(self, text: str) -> list[int]:
+        """The numbers of the texts that ``text`` contains, ascending."""
+        octets, found = text.encode("utf-8", "surrogatepass"), set(self.always)
+        for size in self.sizes:
+            if len(octets) < size:
+                break
+            heads = self._heads(octets, size)
+            for at in np.flatnonzero(self.filters[size][(heads & np.uint64((1 << 20) - 1)).astype(np.int64)]).tolist():
+                found.update(k for k, own in self.places.get((size, int(heads[at])), ()) if octets.startswith(own, at))
+        return sorted(found)
+
+
+def contained(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, item_id) for each row of ``docs`` (doc_id, text) and of ``items`` (item_id, text) it contains, as SQL's contains.
+
+    The items are sent to all tasks in blocks of about ``block_chars`` characters. Repeated rows answer each; null texts
+    contain nothing and are in nothing; an empty item is in every text.
+    """
+    docs, items = docs.where("text is not null").select("doc_id", "text"), items.where("text is not null").select("item_id", "text")
+    total = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+    parts = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block).collect()
+        needles, ids = Needles([r.text for r in rows]), [r.item_id for r in rows]
+
+        def batches(found: Iterator[pa.RecordBatch], needles: Needles = needles, ids: list = ids) -> Iterator[pa.RecordBatch]:
+            for part in found:
+                hits = [needles.within(t) for t in part.column("text").to_pylist()]
+                places = pa.array([k for k, h in enumerate(hits) for _ in h], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(places), pa.array([ids[k] for h in hits for k in h], kind)], names=["doc_id", "item_id"])
+
+        parts.append(docs.mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+__all__ = ["MODES", "WORD_RUN", "add_units", "candidates", "contained", "matches_in_text", "postings", "search", "search_surfaces", "trigram_postings"]

@@ -146,13 +146,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j4_benchmark_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that documents contain, joined on the first 24 characters of each item before the whole is compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") >= 24).select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("key"))
-    starts = F.transform(F.regexp_extract_all("text", F.lit(r"(?s)(?<![\w])(?=([A-ZÀ-Þ].{23}))"), F.lit(1)), lambda s: s)
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("key"))
-    near = keyed.join(items, "key").join(docs, "doc_id")
-    return near.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    return search.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("j3_labelled_documents", "SELECT source, toxic, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")

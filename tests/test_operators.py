@@ -298,3 +298,14 @@ def test_graph(spark):
     seeds = frame(spark, [("https://a.b/",)], "url string")
     assert {(r.url, r.depth) for r in graph.crawl(edges, seeds).collect()} == {("https://a.b/", 0), ("https://a.b/x", 1), ("https://a.b/y", 2)}
     assert frame(spark, [("https://a.b/c/d", "../e")], "b string, r string").select(url_resolve("b", "r")).first()[0] == "https://a.b/e"
+
+
+def test_contained_items(spark):
+    items = ["7 up", "x", "é", "", "lower case item of more than thirty-two octets", "数学题目是什么", '"Quoted', "Capital item with many letters", "7 up", None]
+    texts = ["a7 up", "", None, "prefixlower case item of more than thirty-two octets", "这个数学题目是什么呢", 'he said "Quoted', "wordCapital item with many lettersé", "7 u", "a7 up"]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    wanted = frame(spark, list(enumerate(items)), "item_id long, text string")
+    want = sorted((i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if t is not None and x is not None and x in t)
+    for chars in (4_000_000, 20):
+        assert sorted(map(tuple, search.contained(docs, wanted, chars).collect())) == want
+    assert search.contained(docs.limit(0), wanted).count() == search.contained(docs, wanted.limit(0)).count() == 0
