@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import forget, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = store(both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     labels = store(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
     while True:
-        near = both.join(labels, both.src == labels.id).select(both.dst.alias("id"), "component")
+        near = both.join(labels.select("id", "component"), both.src == labels.id).select(both.dst.alias("id"), "component")
         least = near.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
         least = store(least, "labels")
         up = least.select(F.col("id").alias("up"), F.col("component").alias("top"))
         jumped = least.join(up, least.component == up.up, "left").select("id", F.least("component", "top").alias("component"))
         old = labels.select("id", F.col("component").alias("old"))
         jumped = store(jumped.join(old, "id", "left").select("id", "component", (F.col("old") != F.col("component")).alias("changed")), "labels")
+        forget(labels, least)
         if jumped.where("changed").limit(1).count() == 0:
-            return jumped.select("id", "component")
-        labels = jumped.select("id", "component")
+            forget(both)
+            found = jumped.select("id", "component")
+            found.stored_at = jumped.stored_at
+            return found
+        labels = jumped
