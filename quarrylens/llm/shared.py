@@ -14,9 +14,11 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors and the driver see; only where none is configured (tests) a temporary one is set."""
+    """Folder all executors and the driver see; only a local session where none is configured (tests) gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
