@@ -49,7 +49,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.learn(docs))
-    return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
