@@ -7,10 +7,14 @@ aligned with it: the tokens that stand where the item's do must be at least ``LE
 slots in the shared windows must be consistent: equal values of a type in the item stand against equal values in the
 document and different against different ones, as they do in a re-parameterised question. Other slots count if they
 are consistent with these.
+
+Names are told by their capitals, which a copy may have lost: words in capitals only aren't names, and each item is also
+indexed as if in lower case, so that such copies share windows with it too.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -83,7 +87,8 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         token, _ = canonical(word)
         value = _hash(token)
-        capital = word.lstrip("\"'(«“[")[:1].isupper() and value not in _PLAIN
+        bare = word.lstrip("\"'(«“[")
+        capital = bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()) and value not in _PLAIN
         self[word] = found = (value, capital + 2 * word.endswith(_STOP) + 4 * (not token))
         return found
 
@@ -127,9 +132,11 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], size: int = WINDOW):
         known = Words()
         self.size = size
-        self.templates = {item: t for item, t in ((i, template(text, known)) for i, text in rows) if len(t.hashes) >= SHORTEST}
+        both = [(i, template(text, known), template(text.lower(), known)) for i, text in rows]
+        # Keys are (item, form); an item without names has one form.
+        self.templates = {(i, form): t for i, *forms in both for form, t in enumerate(forms) if len(t.hashes) >= SHORTEST and not (form and np.array_equal(t.hashes, forms[0].hashes))}
         found = [(int(h), item, at) for item, t in self.templates.items() for _, own in windows(t.hashes, [window_size(len(t.hashes), size)]) for at, h in enumerate(own)]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.places: dict[int, list[tuple[tuple[int, int], int]]] = defaultdict(list)
         for h, item, at in found:
             self.places[h].append((item, at))
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
@@ -147,21 +154,23 @@ class Items:
 
     def judge(self, doc: Template) -> tuple[int, float, bool] | None:
         """Best item as (item, share covered, whether slot values differ), or None."""
-        spans: dict[tuple[int, int], set[int]] = defaultdict(set)
+        spans: dict[tuple[tuple[int, int], int], set[int]] = defaultdict(set)
         for place, value in self.hits(doc.hashes):
             for item, at in self.places[value]:
                 spans[item, place - at].add(at)
         best = None
-        by_item: dict[int, dict[int, set[int]]] = defaultdict(dict)
+        by_item: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(dict)
         for (item, shift), starts in spans.items():
             by_item[item][shift] = starts
         for item, shifts in by_item.items():
             own = self.templates[item]
             size = window_size(len(own.hashes), self.size)
             aligned = {shift: self._aligned(own, doc, shift) for shift in shifts}
+            rising = sorted(shifts)
             for shift in shifts:
                 # Shared windows of nearly the same shift belong to one passage; words may have been put in or left out.
-                nearest = [s for s in sorted(shifts, key=lambda s: -abs(s - shift)) if abs(s - shift) <= 5]
+                near = rising[bisect.bisect_left(rising, shift - 5) : bisect.bisect_right(rising, shift + 5)]
+                nearest = sorted(near, key=lambda s: -abs(s - shift))
                 near = {a: s for s in nearest for a in shifts[s]}
                 covered = {a + k: s for a, s in near.items() for k in range(size)}
                 others = {at: s for s in nearest for at in aligned[s] if at not in covered}
@@ -171,7 +180,7 @@ class Items:
                 consistent, changed, fitting = self._slots(own, doc, covered, others)
                 share = (len(covered) + fitting) / len(own.hashes)
                 if consistent and share >= LEAST_SHARE and not (best and share <= best[1]):
-                    best = (item, share, changed)
+                    best = (item[0], share, changed)
         return best
 
     @staticmethod

@@ -137,6 +137,19 @@ def test_short_items_with_one_changed_word(count):
     assert items.judge(decontaminate.template(" ".join(words[: count // 2]) + " and then wholly other prose follows here", decontaminate.Words())) is None
 
 
+def test_lower_cased_copies_and_long_number_texts():
+    item = "Yesterday the clerk told Maria Lopez that the ferry to Porto leaves at 9 and costs 12 euros for Maria Lopez"
+    items = decontaminate.Items([(1, item), (2, "7 " * 12)])
+    judge = lambda t: items.judge(decontaminate.template(t, decontaminate.Words()))
+    assert judge(f"Some words. {item} more")[:2] == (1, 1.0) and judge(item.lower())[:2] == (1, 1.0) and judge(f"before {item.upper()}")[:2] == (1, 1.0)
+    assert judge(item.replace("Maria Lopez", "Anna Berg").replace("Porto", "Bergen")) == (1, 1.0, True)
+    start = time.perf_counter()
+    judge("7 " * 5000)
+    middle = time.perf_counter()
+    judge("7 " * 20_000)
+    assert time.perf_counter() - middle < 12 * (middle - start) + 1
+
+
 # --- licenses ---
 
 
@@ -320,6 +333,57 @@ def test_boosted_trees():
     assert gbdt.threshold(np.array([0.9]), np.array([0]), 0.9) > 1
 
 
+# --- near copies by brute force ---
+
+
+def test_near_copies_of_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: near_copies.shingle_set(r.text) for r in rows}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if not len(a) or not len(b):
+                continue
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both / (len(a) + len(b) - both) >= 0.8:
+                    x, y = sorted((find(i), find(j)))
+                    top[y] = x
+    want = Counter(find(i) for i in ids if len(sets[i]))
+    known = near_copies.groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    groups = {}
+    for r in known:
+        if len(sets[r.doc_id]):
+            groups.setdefault(r.group, []).append(r.doc_id)
+    assert Counter({min(g): len(g) for g in groups.values()}) == want
+
+
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(6)
+    for n in (5, 300, 3000):
+        for _ in range(40):
+            base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            more = rng.integers(0, 1 << 63, max(1, n // 8)).astype(np.uint64)
+            a, b = np.unique(base), np.unique(np.concatenate([base[: n - n // 20], more]))
+            apart = len(np.setxor1d(a, b))
+            x, y = near_copies.sketch(a), near_copies.sketch(b)
+            bits = 8 * min(len(x), len(y))
+            found = (near_copies.folded(int.from_bytes(x, "little"), 8 * len(x), bits) ^ near_copies.folded(int.from_bytes(y, "little"), 8 * len(y), bits)).bit_count()
+            short = near_copies.short_sketch(x) ^ near_copies.short_sketch(y)
+            assert found <= apart and sum(int(v).bit_count() for v in short.view(np.uint64)) <= found
+            both = len(np.intersect1d(a, b))
+            if both / len(np.union1d(a, b)) >= 0.8:
+                assert apart <= near_copies.most_apart(len(a), len(b), 0.8)
+
+
 # --- language model ---
 
 
