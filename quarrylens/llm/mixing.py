@@ -15,7 +15,8 @@ from .shared import store, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGES = 256
+ROWS_A_RANGE = 20_000
+LEAST_RANGES = 256
 
 
 def uniform(doc_id: Column, seed: str = "mix") -> Column:
@@ -59,8 +60,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     a repeated doc_id is taken. It is joined once the texts are counted, so no text is shuffled. Null sources are one source, null texts have size 0
     and are taken 0 words. Equal keys are ordered by id, size and a hash of the text. An empty table gives none.
 
-    One source may hold most rows: prefix sums are made within ranges of the keys, which are sums over at most a few
-    thousandths of a source, and the ranges' totals are added before.
+    One source may hold most rows: prefix sums are made within ranges of the keys, as many a source as give about
+    ``ROWS_A_RANGE`` rows of the whole table, and the ranges' totals are added before.
     """
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     if quality is not None:
@@ -70,9 +71,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
         base = base.withColumn("quality", F.lit(1.0))
     weight = F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-9))
     base = base.withColumn("key", -F.log(uniform(F.col("doc_id"))) / weight).drop("quality")
-    base = base.withColumn("part", F.floor(F.col("key") / (1 + F.col("key")) * RANGES).cast("int"))
     base = base.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     base = store(base, "sizes")
+    # 1 - exp(-key) is spread evenly where all documents weigh 1.
+    ranges = max(LEAST_RANGES, base.count() // ROWS_A_RANGE)
+    base = base.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
     parts = base.groupBy("s", "source", "part").agg(F.sum("size").alias("words"))
     sizes = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     sizes = sizes.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
