@@ -6,6 +6,10 @@ and context arrays, and passes on how many contexts each word follows. A second,
 gives the word arrays: count and continuation count. Scoring maps the arrays and looks up all bigrams of a batch at
 once, so a worker's memory holds a batch and not the model.
 
+A shard holds what falls on it by the first bits of a bigram's key: those of its context, or, for the ``HEAVY`` contexts
+of a sample, of context and word together, so that a frequent context is spread over all shards. Its sums are then
+those of its parts, added in the second shuffle. The sample decides only where bigrams are kept.
+
     P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3+(u)) / c(u) * P(w)
     P(w)     = max(k(w) - E(k(w)), 0) / K + (E1 T1 + E2 T2 + E3 T3+) / K / (V + 1)
 
@@ -20,6 +24,7 @@ import io
 import shutil
 import tempfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,8 +42,11 @@ from .shared import held_out, new_folder, small_batches, store
 
 START = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0xC2B2AE3D27D4EB4F)
-TOP = np.uint64(0xFFFF000000000000)
+SHARD_BITS = 20
 FLUSH_TOKENS = 3_000_000
+SHARD_CHARS = 1 << 24
+HEAVY_TEXTS = 10_000
+HEAVY_SHARE = 1 / 2000
 _U = np.uint64
 
 
@@ -61,14 +69,20 @@ def tokens_of(text: str | None, hashes: Hashes) -> np.ndarray:
     return out
 
 
-def bigram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Sortable keys: the first 16 bits are the context's, so that its bigrams stay within its shard."""
+def bigram_keys(context: np.ndarray, word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Sortable keys: the first ``SHARD_BITS`` bits are the context's, so that its bigrams stay in its shard, unless it is ``heavy``."""
     mixed = (context * _U(0x9FB21C651E98DF25)) ^ (word + _U(0xD6E8FEB86659FD93))
     mixed ^= mixed >> _U(32)
     mixed *= _U(0xD6E8FEB86659FD93)
     mixed ^= mixed >> _U(29)
     mixed *= _U(0xBF58476D1CE4E5B9)
-    return context & TOP | mixed >> _U(16)
+    mixed ^= mixed >> _U(32)
+    top = context
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
+        top = np.where(heavy[at] == context, mixed << _U(64 - SHARD_BITS), context)
+    low = _U((1 << 64 - SHARD_BITS) - 1)
+    return top & ~low | mixed >> _U(SHARD_BITS)
 
 
 def contexts_of(tokens: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -113,18 +127,19 @@ class Model:
     bigram_discounts: tuple[float, ...]
     word_discounts: tuple[float, ...]
     left: float
+    heavy: tuple[int, ...] = ()
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed unigram share of tokens with these training counts."""
         return np.log10((counts + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
 
 
-def _pack(tokens: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+def _pack(tokens: list[np.ndarray], bits: int, heavy: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Distinct bigrams of some texts with their counts, by shard of the context."""
     lengths = [len(t) for t in tokens]
     word = np.concatenate(tokens)
     context = contexts_of(word, lengths)
-    keys, first, counts = np.unique(bigram_keys(context, word), return_index=True, return_counts=True)
+    keys, first, counts = np.unique(bigram_keys(context, word, heavy), return_index=True, return_counts=True)
     context, word = context[first], word[first]
     shards = (keys >> _U(64 - bits)).astype(np.int64)
     cuts = np.searchsorted(shards, np.arange((1 << bits) + 1))
@@ -153,23 +168,47 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (sorted_keys[starts], order[starts], *[np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values])
 
 
+def heavy_contexts(docs: DataFrame, texts: int = HEAVY_TEXTS, share: float = HEAVY_SHARE) -> np.ndarray:
+    """Sorted contexts that are ``share`` of the tokens of about ``texts`` texts or more, so at most 1 / ``share`` of them."""
+    rows = docs.select(F.col("text").cast("string"))
+    part = min(1.0, texts / max(1, rows.count()))
+    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)))
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, found = Hashes(), Counter()
+        for batch in parts:
+            for text in batch.column("text"):
+                words, counts = np.unique(tokens_of(text.as_py(), hashes)[:-1], return_counts=True)
+                found.update(dict(zip(words.tolist(), counts.tolist(), strict=True)))
+                found[int(START)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), dtype=np.uint64).view(np.int64)), pa.array(list(found.values()), pa.int64())], names=["c", "n"])
+
+    counted = picked.mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    counted = store(counted, "contexts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") >= max(1.0, total * share)).collect()
+    return np.sort(np.array([r.c for r in found], dtype=np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, folder: str | None = None, bits: int | None = None) -> Model:
     """Count the texts of ``docs`` (column text; null: empty, which still has its end token) and write the arrays.
 
-    ``bits``: log2 of the number of shards; as many as the session's shuffle partitions, rounded up. Repeated rows
-    count as often as they occur. Without rows the model knows no word.
+    ``bits``: log2 of the number of shards; by default a shard for ``SHARD_CHARS`` characters, rounded up, 8 at least
+    and 2 ** ``SHARD_BITS`` at most. Repeated rows count as often as they occur. Without rows the model knows no word.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or new_folder(spark, "kneser-ney")
     if bits is None:
-        bits = min(16, max(3, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        bits = min(SHARD_BITS, max(3, (chars // SHARD_CHARS).bit_length()))
+    heavy = heavy_contexts(docs, HEAVY_TEXTS, HEAVY_SHARE)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
 
         def batch() -> pa.RecordBatch:
-            rows = list(_pack(held, bits))
+            rows = list(_pack(held, bits, heavy))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
 
@@ -188,19 +227,23 @@ def train(docs: DataFrame, folder: str | None = None, bits: int | None = None) -
 
         attempt, shard = TaskContext.get().taskAttemptId(), int(key[0])
         columns = [np.concatenate(x) for x in zip(*map(_unpack, group.pop("blob")), strict=True)]
-        keys, at, total = _summed(bigram_keys(columns[0], columns[1]), columns[2])
+        keys, at, total = _summed(bigram_keys(columns[0], columns[1], heavy), columns[2])
         context, word = columns[0][at], columns[1][at]
         _save(folder, f"bigram-key-{shard}", keys, attempt)
-        _save(folder, f"bigram-count-{shard}", total.astype(np.uint32), attempt)
+        _save(folder, f"bigram-count-{shard}", total.astype(np.uint32 if not len(total) or total.max() < 1 << 32 else np.int64), attempt)
         heads, _, *sums = _summed(context, total, *[(total == k).astype(np.int64) for k in (1, 2)], (total > 2).astype(np.int64))
-        _save(folder, f"context-key-{shard}", heads, attempt)
-        _save(folder, f"context-sums-{shard}", np.stack(sums, axis=1), attempt)
+        parted = np.isin(heads, heavy)
+        _save(folder, f"context-key-{shard}", heads[~parted], attempt)
+        _save(folder, f"context-sums-{shard}", np.stack(sums, axis=1)[~parted], attempt)
         words, _, before, seen = _summed(word, np.ones_like(total), total)
         counts = [int((total == k).sum()) for k in (1, 2, 3, 4)]
-        return pd.DataFrame({"kind": [1] * 4 + [0] * len(words), "h": np.concatenate([[1, 2, 3, 4], words.view(np.int64)]), "before": np.concatenate([counts, before]), "seen": np.concatenate([[0] * 4, seen])})
+        # kind 0: of a word; 1: counts of counts; 2: the sums of a heavy context's part.
+        rows = [(0, words.view(np.int64), before, seen, 0 * before, 0 * before), (1, np.arange(1, 5), np.array(counts), *[np.zeros(4, np.int64)] * 3), (2, heads[parted].view(np.int64), *[x[parted] for x in sums])]
+        columns = [np.concatenate([r[k] for r in rows]) for k in range(1, 6)]
+        return pd.DataFrame({"kind": np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]), **dict(zip(("h", "before", "seen", "two", "more"), columns, strict=True))})
 
     packs = docs.select(F.col("text").cast("string")).mapInArrow(count, "shard int, blob binary")
-    merged = store(packs.groupBy("shard").applyInPandas(merge, "kind int, h long, before long, seen long"), "words")
+    merged = store(packs.groupBy("shard").applyInPandas(merge, "kind int, h long, before long, seen long, two long, more long"), "words")
 
     def words(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         from pyspark import TaskContext
@@ -215,10 +258,14 @@ def train(docs: DataFrame, folder: str | None = None, bits: int | None = None) -
     rows = merged.where("kind = 0").select(shard.alias("shard"), "h", "before", "seen").groupBy("shard").applyInPandas(words, "v long, n long, k long, t1 long, t2 long, t3 long, t4 long, t3up long")
     total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns]).first()
     seen = dict(merged.where("kind = 1").groupBy("h").agg(F.sum("before")).collect())
+    parts = merged.where("kind = 2").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("before", "seen", "two", "more")]).collect()
+    parts.sort(key=lambda r: r.h & (1 << 64) - 1)
+    _save(folder, "heavy-key", np.array([r.h for r in parts], dtype=np.int64).view(np.uint64), 0)
+    _save(folder, "heavy-sums", np.array([r[1:] for r in parts], dtype=np.int64).reshape(-1, 4), 0)
     d = discounts(np.array([seen.get(k) or 0 for k in (1, 2, 3, 4)]))
     e = discounts(np.array([total.t1, total.t2, total.t3, total.t4]))
     left = float(e[1] * total.t1 + e[2] * total.t2 + e[3] * total.t3up) / total.k if total.k else 1.0
-    return Model(folder, bits, int(total.n), int(total.v), int(total.k), tuple(d.tolist()), tuple(e.tolist()), left)
+    return Model(folder, bits, int(total.n), int(total.v), int(total.k), tuple(d.tolist()), tuple(e.tolist()), left, tuple(heavy.tolist()))
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------
@@ -256,6 +303,16 @@ def _look_up(model: Model, kind: str, value: str, sorted_keys: np.ndarray, width
     return out
 
 
+def _heavy_sums(model: Model, sorted_keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """``sums`` of sorted contexts, those of heavy contexts put in."""
+    keys = _mapped(model.folder, "heavy-key")
+    if keys is not None and len(keys) and len(sorted_keys):
+        at = np.minimum(np.searchsorted(keys, sorted_keys), len(keys) - 1)
+        hit = keys[at] == sorted_keys
+        sums[hit] = _mapped(model.folder, "heavy-sums")[at[hit]]
+    return sums
+
+
 def score_batch(model: Model, tokens: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, sum of base log10 shares, and log10 probability by the model."""
     lengths = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -266,9 +323,9 @@ def score_batch(model: Model, tokens: list[np.ndarray]) -> tuple[np.ndarray, ...
     seen, before = _look_up(model, "word", "sums", words, 2).T
     low = np.maximum(before - e[np.minimum(before, 3)], 0) / max(model.continuations, 1) + model.left / (model.distinct + 1)
     heads, whose = np.unique(context, return_inverse=True)
-    total, n1, n2, n3 = _look_up(model, "context", "sums", heads, 4).T
+    total, n1, n2, n3 = _heavy_sums(model, heads, _look_up(model, "context", "sums", heads, 4)).T
     weight = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-    pairs, pair_of = np.unique(bigram_keys(context, word), return_inverse=True)
+    pairs, pair_of = np.unique(bigram_keys(context, word, np.array(model.heavy, dtype=np.uint64)), return_inverse=True)
     counts = _look_up(model, "bigram", "count", pairs, 1)[:, 0][pair_of]
     high = np.maximum(counts - d[np.minimum(counts, 3)], 0) / np.maximum(total, 1)[whose]
     logs = np.log10(high + weight[whose] * low[which])

@@ -387,7 +387,9 @@ def test_sketches_never_lose_a_link():
 # --- language model ---
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("share", [1 / 2000, 0.06, 2.0])  # all contexts, a few or none are spread over shards
+def test_kneser_ney(spark, monkeypatch, share):
+    monkeypatch.setattr(kneser_ney, "HEAVY_SHARE", share)
     rows = [(i, t, "a") for i, t in enumerate(["the cat sat", "The cat ran", "a dog sat on the mat", "the the the", "", "unknown words only here", "a cat", "dog ran on"] * 4)] + ODD[:4]
     out = kneser_ney.train_and_score(docs(spark, rows)).collect()
     ids = {r[0]: r[1] for r in spark.createDataFrame([(r[0],) for r in rows], "i long").select("i", held_out(F.col("i"), 5)).collect()}
