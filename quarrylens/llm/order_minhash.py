@@ -1,10 +1,14 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 A text is cut into tokens (words, long ones in pieces of ``TOKEN_CHARS`` characters, so that unspaced texts have tokens
-too); its k-mers are runs of ``KMER`` tokens. Repeated k-mers are numbered by occurrence, so every one counts. The
-``POOL`` least occurrence-numbered k-mer hashes are kept; for each of ``SLOTS`` random orders (the hash XOR a mask) the
-``TUPLE`` least of them are put back into text order and hashed together. Two texts agree in a slot if they have the
-same k-mers in the same order there, which follows the edit distance rather than the set of k-mers.
+too); its k-mers are runs of ``KMER`` tokens. Repeated k-mers are numbered by occurrence, so every one counts. For each
+of ``SLOTS`` random orders over all of them the ``TUPLE`` least are put back into text order and hashed together. Two
+texts agree in a slot if they have the same k-mers in the same order there, which follows the edit distance rather than
+the set of k-mers.
+
+The orders are those of ``HASHES`` independent hash functions, each read from ``TURNS`` starting points around the circle of
+its values: a k-mer's rank is how far its hash lies beyond the start. Every one is a uniformly random order of all
+k-mers, as for one-permutation hashing with rotation; one sort serves ``TURNS`` of them.
 
 Null and empty texts have the empty fingerprint: alike to each other (1) and to nothing else (0).
 """
@@ -20,40 +24,54 @@ from .shared import store
 TOKEN_CHARS = 64
 KMER = 2
 TUPLE = 2
-SLOTS = 32
-POOL = 64
+HASHES = 4
+TURN_BITS = 3
+TURNS = 1 << TURN_BITS
+SLOTS = HASHES * TURNS
 POSITION_BITS = 26
 _POSITION = (1 << POSITION_BITS) - 1
+_START = (1 << 64 - TURN_BITS) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def hash_masks(hashes: int = HASHES) -> list[int]:
+    """Masks that make hash functions by rule: XXH64 of ``order 0``, ``order 1``, ..., as signed longs."""
+    return [_signed(xxhash.xxh64_intdigest(f"order {j}")) for j in range(hashes)]
 
-def slot_masks(slots: int = SLOTS) -> list[int]:
-    """Masks by rule: XXH64 of ``order 0``, ``order 1``, ... with the position bits cleared, as signed longs."""
-    found = [xxhash.xxh64_intdigest(f"order {j}") & ~_POSITION for j in range(slots)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
 
+def turn_starts() -> list[int]:
+    """The starting points, ascending as signed longs."""
+    return [(k - TURNS // 2) << 64 - TURN_BITS for k in range(TURNS)]
 
-def with_signature(df: DataFrame, text: str, out: str, slots: int = SLOTS, pool: int = POOL) -> DataFrame:
+
+def with_signature(df: DataFrame, text: str, out: str, hashes: int = HASHES) -> DataFrame:
     """``df`` with column ``out``: an array of one long per slot, empty for null, empty and blank texts.
 
     Each step is a column of its own, and is used at least twice by the next, so that Catalyst keeps it as one value
-    and doesn't put the whole expression into the lambdas.
+    and doesn't put the whole expression into the lambdas. A k-mer is its hash with its place in the low bits, from 1;
+    places of texts of over 2 ** ``POSITION_BITS`` tokens begin again.
     """
     t, v, d, b = (f"__{out}_{x}" for x in "tvdb")
-    high = F.lit(~_POSITION).cast("long")
+    high, low = F.lit(~_POSITION).cast("long"), F.lit(_POSITION).cast("long")
 
     def hash_of(x: Column) -> Column:
         return x.bitwiseAND(high)
 
+    def place_of(x: Column) -> Column:
+        return x.bitwiseAND(low)
+
     ends = F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     pieces = F.regexp_replace(ends, r"([^\x20\x09-\x0D]{%d})(?=[^\x20\x09-\x0D])" % TOKEN_CHARS, "$1 ")
     cut = F.when(ends.rlike(r"[^\x20\x09-\x0D]{%d}" % (TOKEN_CHARS + 1)), pieces).otherwise(ends)
     tokens = F.when(F.length(ends) > 0, F.split(cut, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
     n = F.size(t)
     positions = F.when(n >= KMER, F.sequence(F.lit(0), n - KMER)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    kmers = F.sort_array(F.transform(positions, lambda i: F.xxhash64(*[F.get(F.col(t), i + j) for j in range(KMER)]).bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    kmers = F.sort_array(F.transform(positions, lambda i: F.xxhash64(*[F.get(F.col(t), i + j) for j in range(KMER)]).bitwiseAND(high).bitwiseOR((i % _POSITION + 1).cast("long"))))
     again = F.filter(F.col(v), lambda x, i: (i > 0) & (hash_of(F.coalesce(F.get(F.col(v), i - 1), F.lit(0))) == hash_of(x)))
     first = F.filter(F.col(v), lambda x, i: (i == 0) | (hash_of(F.coalesce(F.get(F.col(v), i - 1), F.lit(0))) != hash_of(x)))
-    firsts = F.when(F.size(d) > 0, first).otherwise(F.col(v))
     # Occurrences 1, 2, ... of a k-mer: the runs of equal hashes among the repeats, which are still sorted.
     starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (hash_of(F.coalesce(F.get(F.col(d), i - 1), F.lit(0))) != hash_of(F.get(F.col(d), i))))
     stops = F.concat(F.slice(F.col(f"{d}s"), 2, F.size(d)), F.array(F.size(d)))
@@ -61,26 +79,36 @@ def with_signature(df: DataFrame, text: str, out: str, slots: int = SLOTS, pool:
         F.zip_with(
             F.col(f"{d}s"),
             F.col(f"{d}e"),
-            lambda a, e: F.transform(
-                F.slice(F.col(d), a + 1, e - a),
-                lambda x, i: F.xxhash64(hash_of(x), i + 1).bitwiseAND(high).bitwiseOR(x.bitwiseAND(F.lit(_POSITION).cast("long"))),
-            ),
+            lambda a, e: F.transform(F.slice(F.col(d), a + 1, e - a), lambda x, i: F.xxhash64(hash_of(x), i + 1).bitwiseAND(high).bitwiseOR(place_of(x))),
         )
     )
-    pooled = F.when(F.size(d) > 0, F.slice(F.sort_array(F.concat(F.slice(firsts, 1, pool), F.col(f"{d}n"))), 1, pool)).otherwise(F.slice(F.col(v), 1, pool))
+    every = F.when(F.size(d) > 0, F.concat(first, F.col(f"{d}n"))).otherwise(F.col(v))
+    cuts = F.array(*[F.lit(x).cast("long") for x in turn_starts()])
+
+    def circle(mask: int) -> Column:
+        """All k-mers by their hash under ``mask``, among them the starting points."""
+        return F.sort_array(F.concat(cuts, F.transform(F.col(b), lambda x: F.xxhash64(hash_of(x).bitwiseXOR(F.lit(mask))).bitwiseAND(high).bitwiseOR(place_of(x)))))
 
-    def slot(mask: int) -> Column:
-        least = F.slice(F.sort_array(F.transform(F.col(b), lambda x: x.bitwiseXOR(F.lit(mask)))), 1, TUPLE)
-        ordered = F.array_sort(F.transform(least, lambda x: F.struct(x.bitwiseAND(F.lit(_POSITION).cast("long")).alias("p"), hash_of(x).alias("h"))))
-        return F.aggregate(ordered, F.lit(mask).cast("long"), lambda s, x: F.xxhash64(s, x["h"]))
+    def slot(ring: Column, start: int, number: int) -> Column:
+        """The ``TUPLE`` least k-mers from ``start`` on, in text order, as one hash; starting points on the way are no k-mers."""
+        ahead = F.slice(ring, F.array_position(ring, F.lit(start)).cast("int") + 1, TUPLE + TURNS)
+        least = F.slice(F.filter(ahead, lambda x: x.bitwiseAND(F.lit(_START)) != 0), 1, F.least(F.size(b), F.lit(TUPLE)))
+        ordered = F.array_sort(F.transform(least, lambda x: F.struct(place_of(x).alias("p"), hash_of(x).alias("h"))))
+        return F.aggregate(ordered, F.lit(number).cast("long"), lambda s, x: F.xxhash64(s, x["h"]))
 
     df = df.withColumn(t, tokens).withColumn(v, kmers).withColumn(d, again)
     df = df.withColumn(f"{d}s", F.when(F.size(d) > 0, starts).otherwise(F.array().cast("array<int>")))
     df = df.withColumn(f"{d}e", stops)
     df = df.withColumn(f"{d}n", F.when(F.size(d) > 0, numbered).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(b, pooled)
-    df = df.withColumn(out, F.when(F.size(b) > 0, F.array(*[slot(m) for m in slot_masks(slots)])).otherwise(F.array().cast("array<bigint>")))
-    return df.drop(t, v, d, f"{d}s", f"{d}e", f"{d}n", b)
+    df = df.withColumn(b, every)
+    rings = [f"__{out}_c{k}" for k in range(hashes)]
+    for ring, mask in zip(rings, hash_masks(hashes), strict=True):
+        df = df.withColumn(ring, circle(mask))
+    for ring in rings:
+        df = df.withColumn(f"{ring}r", F.concat(ring, F.slice(F.col(ring), 1, TUPLE + TURNS)))
+    slots = [slot(F.col(f"{ring}r"), start, k * TURNS + j) for k, ring in enumerate(rings) for j, start in enumerate(turn_starts())]
+    df = df.withColumn(out, F.when(F.size(b) > 0, F.array(*slots)).otherwise(F.array().cast("array<bigint>")))
+    return df.drop(t, v, d, f"{d}s", f"{d}e", f"{d}n", b, *rings, *(f"{ring}r" for ring in rings))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,12 +122,12 @@ def as_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(8))), "")
 
 
-def signatures(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def signatures(docs: DataFrame) -> DataFrame:
     """doc_id and signature of every row of ``docs``; repeated rows are kept, other columns ignored."""
-    return with_signature(docs.select("doc_id", "text"), "text", "signature", slots).select("doc_id", "signature")
+    return with_signature(docs.select("doc_id", "text"), "text", "signature").select("doc_id", "signature")
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2000, quantiles: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 500, quantiles: int = 256) -> DataFrame:
     """doc_id, text, signature, next_text and next_signature: those of the next row by ascending doc_id (null first).
 
     The last row is followed by the first. Rows of equal doc_id follow each other by text. Rows are dealt by ranges of
@@ -144,7 +172,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def compare_with_edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: its fingerprint, that of its edited text (see ``edited``) and how alike they and the next row's are.
 
     Nulls count as empty texts; an empty table gives none; a single row follows itself. Columns besides doc_id and
@@ -152,7 +180,7 @@ def compare_with_edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "edited_text", "signature", "next_signature")
-    rows = with_signature(rows, "edited_text", "edited_signature", slots)
+    rows = with_signature(rows, "edited_text", "edited_signature")
     return rows.select(
         "doc_id",
         "n_chars",

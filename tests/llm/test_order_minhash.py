@@ -25,8 +25,8 @@ def tokens(text):
     return [w[k : k + om.TOKEN_CHARS] for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for k in range(0, len(w), om.TOKEN_CHARS)]
 
 
-def test_pool_and_slots_follow_the_definition(spark):
-    """Slots from the k-mer hashes that Spark gives, selected by brute force."""
+def test_slots_follow_the_definition(spark):
+    """Each slot: of all occurrence-numbered k-mers the two least of its order, in text order, by brute force from the k-mers' hashes."""
     texts = ["a b c a b c a b d", "x", "", None, "  \t", "one two three four five six " * 30, "ü" * 300 + " end", "a b", "b a"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: r[1] for r in om.signatures(df).collect()}
@@ -36,20 +36,21 @@ def test_pool_and_slots_follow_the_definition(spark):
     numbers = {(h, o): v & (1 << 64) - 1 for h, o, v in spark.createDataFrame([(signed(h & HIGH), o) for h in table.values() for o in range(1, 61)], "h long, o int").select("h", "o", F.xxhash64("h", "o")).collect()}
     for i, text in enumerate(texts):
         t = tokens(text)
-        seen, pool = {}, []
+        seen, kmers = {}, []
         for p in range(max(1, len(t) - 1) if t else 0):
             h = signed(table[tuple(t[p : p + 2])] & HIGH)
             o = seen[h] = seen.get(h, -1) + 1
-            pool.append(signed((h if o == 0 else numbers[h, o]) & HIGH | p))
-        pool = sorted(pool)[: om.POOL]
+            kmers.append(((h if o == 0 else numbers[h, o]) & HIGH, p + 1))
         want = []
-        for m in om.slot_masks():
-            least = sorted(x ^ m for x in pool)[: om.TUPLE]
-            s = m
-            for x in sorted(least, key=lambda x: x & om._POSITION):
-                s = long_hash(x & HIGH, long_hash(s, 42))
-            want.append(signed(s))
-        assert got[i] == (want if pool else []), text
+        for k, mask in enumerate(om.hash_masks()):
+            own = [(long_hash(h ^ mask & (1 << 64) - 1, 42) & HIGH | p) for h, p in kmers]
+            for j, start in enumerate(om.turn_starts()):
+                least = sorted(own, key=lambda x: (x - start) % (1 << 64))[: om.TUPLE]
+                s = k * om.TURNS + j
+                for x in sorted(least, key=lambda x: x & om._POSITION):
+                    s = long_hash(x & HIGH, long_hash(s, 42))
+                want.append(signed(s))
+        assert got[i] == (want if kmers else []), text
 
 
 def test_edits(spark):
@@ -81,3 +82,16 @@ def test_order_matters(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[30:] + words[:30]))], "doc_id long, text string")
     a, b = [r[1] for r in om.signatures(df).orderBy("doc_id").collect()]
     assert 0.2 < sum(x == y for x, y in zip(a, b)) / len(a) < 0.95
+
+
+def test_likeness_falls_with_the_edit_distance(spark):
+    """Two equal k-mers in equal order per slot: likeness near the square of the share of common k-mers for substitutions, over 200 texts."""
+    rows = []
+    for i in range(200):
+        words = [f"w{i}n{k}" for k in range(200)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join("x" if k % 20 == 7 else w for k, w in enumerate(words))), (3 * i + 2, " ".join("x" if k % 5 == 2 else w for k, w in enumerate(words)))]
+    got = {r[0]: r[1] for r in om.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(got[a], got[b])) / len(got[a])
+    near, far = (sum(like(3 * i, 3 * i + e) for i in range(200)) / 200 for e in (1, 2))
+    jaccard = lambda common: common / (2 * 199 - common)
+    assert abs(near - jaccard(179) ** 2) < 0.06 and abs(far - jaccard(119) ** 2) < 0.06
