@@ -61,8 +61,8 @@ def candidates(token_index: DataFrame, tri_index: DataFrame, query: str) -> Data
     if not tokens:
         return tri_index.select("id").distinct()
     test = reduce(lambda a, b: a | b, [(F.col("token") == t) | (F.col("token").startswith(t) if len(t) >= 3 else F.lit(False)) for t in tokens])
-    which = reduce(lambda acc, t: F.when(F.col("token").startswith(t), t).otherwise(acc), sorted(tokens, key=len), F.lit(None).cast("string"))
-    by_token = token_index.where(test).groupBy("id").agg(F.countDistinct(which).alias("n")).where(F.col("n") >= len(tokens)).select("id")
+    held = [F.max(F.col("token").startswith(t) if len(t) >= 3 else F.col("token") == t) for t in tokens]
+    by_token = token_index.where(test).groupBy("id").agg(*[h.alias(f"t{k}") for k, h in enumerate(held)]).where(reduce(lambda a, b: a & b, [F.col(f"t{k}") for k in range(len(tokens))])).select("id")
     votes = max(1, len(grams) // 4)
     by_tri = tri_index.where(F.col("tri").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("id")
     return by_token.union(by_tri).distinct()

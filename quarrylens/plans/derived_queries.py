@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
-from ..operators import api, tables
+from ..functions import decode, pretty, text, urls
+from ..operators import api, exposures, extract, graph, search, secrets, tables
 from ..session import table
 from ..sources import capture, exports
 from .unit_queries import HOST, PATH
@@ -279,3 +279,66 @@ def severity_counts(ex: DataFrame) -> DataFrame:
 @query("st5_pressure", "SELECT seq, CASE WHEN seq >= 1000 THEN 'full' WHEN seq >= 800 THEN 'tight' ELSE 'ok' END AS state FROM ex")
 def pressures(ex: DataFrame) -> DataFrame:
     return ex.select("seq", tables.pressure(F.col("seq"), F.lit(1000)).alias("state"))
+
+
+@query("r1_assigned_secrets", """SELECT seq, rule, value FROM (
+    SELECT seq, 'password_assignment' AS rule, 'Zk9' || seq || 'pqWm' AS value FROM ex WHERE seq % 6 = 0
+    UNION ALL SELECT seq, 'generic_secret_assignment', 'Rt7-LmPwZq-' || seq FROM ex WHERE seq % 6 = 1
+    UNION ALL SELECT seq, 'x_api_key', 'x-api-key: QwEr7TyUiOp9AsDf' FROM ex WHERE seq % 6 = 2
+    UNION ALL SELECT seq, 'generic_secret_assignment', 'QwEr7TyUiOp9AsDf' FROM ex WHERE seq % 6 = 2)
+    WHERE NOT regexp_matches(value, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999')""")
+def assigned_secrets(ex: DataFrame) -> DataFrame:
+    """Assignments by several rules; placeholders, hexadecimal ids and repeated characters are none."""
+    seq, which = F.col("seq").cast("string"), F.col("seq") % 6
+    line = (
+        F.when(which == 0, F.concat(F.lit('password = "Zk9'), seq, F.lit('pqWm"')))
+        .when(which == 1, F.concat(F.lit("client_secret: 'Rt7-LmPwZq-"), seq, F.lit("'")))
+        .when(which == 2, F.lit("x-api-key: QwEr7TyUiOp9AsDf"))
+        .when(which == 3, F.lit("password: changeme"))
+        .when(which == 4, F.lit("api_key: a1b2c3d4e5f60718"))
+        .otherwise(F.col("event_type"))
+    )
+    return secrets.scan(ex.select("seq", line.alias("text"))).select("seq", "rule", "value")
+
+
+@query("r1c_unsigned_tokens", "SELECT seq, rule FROM (SELECT seq, 'jwt' AS rule FROM ex UNION ALL SELECT seq, 'jwt_none_alg' FROM ex WHERE seq % 2 = 0)")
+def unsigned_tokens(ex: DataFrame) -> DataFrame:
+    head = F.translate(F.rtrim(F.base64(F.when(F.col("seq") % 2 == 0, '{"alg":"none"}').otherwise('{"alg":"HS256"}').cast("binary")), F.lit("=")), "+/", "-_")
+    body = F.rtrim(F.base64(F.concat(F.lit('{"sub":"'), F.col("event_type"), F.lit('"}')).cast("binary")), F.lit("="))
+    return secrets.scan(ex.select("seq", F.concat(head, F.lit("."), body, F.lit(".c2lnbmF0dXJlLXBhcnQ")).alias("text"))).select("seq", "rule")
+
+
+@query("e21_csp_domains", "SELECT seq, 'cdn' || user_id % 3 || '.example.com,data.s3.amazonaws.com' AS domains, 'data.s3.amazonaws.com' AS buckets FROM ex")
+def csp_domains(ex: DataFrame) -> DataFrame:
+    csp = F.concat(F.lit("script-src 'self' https://CDN"), (F.col("user_id") % 3).cast("string"), F.lit(".example.com; img-src *.data.s3.amazonaws.com data: blob:; SCRIPT-SRC evil.example.net"))
+    return ex.select("seq", exposures.csp_domains(csp).alias("d")).select("seq", F.array_join("d.domains", ",").alias("domains"), F.array_join("d.buckets", ",").alias("buckets"))
+
+
+@query("e9_declared_endpoints", "SELECT url, method, '/' || event_type || '/{id}' AS path FROM (SELECT 'spec' || seq AS url, event_type, unnest(['GET', 'POST']) AS method FROM ex)")
+def declared_endpoints(ex: DataFrame) -> DataFrame:
+    body = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/'), F.col("event_type"), F.lit('/{id}":{"get":{},"post":{"tags":["a"]},"parameters":[]}}}'))
+    return extract.declared_endpoints(ex.select(F.concat(F.lit("spec"), F.col("seq").cast("string")).alias("url"), body.alias("body")))
+
+
+@query("d7_hex_dumps", "SELECT seq, '00000000  ' || trim(regexp_replace(lower(hex(s)), '(..)', '\\1 ', 'g')) || '  |' || s || '|' AS shown FROM (SELECT seq, rpad(event_type || seq, 16, '.') AS s FROM ex)")
+def hex_dumps(ex: DataFrame) -> DataFrame:
+    data = F.rpad(F.concat("event_type", F.col("seq").cast("string")), 16, ".")
+    return ex.select("seq", decode.hex_dump(data.cast("binary")).alias("shown"))
+
+
+@query("d5_pretty_bodies", """SELECT seq, '{' || chr(10) || '  "id": 1,' || chr(10) || '  "ok": false,' || chr(10) || '  "name": "n' || user_id || '"' || chr(10) || '}' AS shown FROM ex WHERE seq % 3 = 0""")
+def pretty_bodies(ex: DataFrame) -> DataFrame:
+    return ex.where("seq % 3 = 0").select("seq", pretty.pretty(F.lit("json"), F.col("resp_body")).alias("shown"))
+
+
+@query("g4_graph_summary", "SELECT event_type || ' —[' || 'calls' || ']→ ' || url AS line FROM ex ORDER BY seq DESC LIMIT 20")
+def graph_summary(ex: DataFrame) -> DataFrame:
+    return graph.summary(ex.select(F.col("event_type").alias("src"), F.col("url").alias("dst"), F.lit("calls").alias("via"), "seq"))
+
+
+@query("x8_token_candidates", "SELECT seq AS id FROM ex WHERE starts_with(CAST(user_id AS VARCHAR), '4') AND event_type = 'click'")
+def token_candidates(ex: DataFrame) -> DataFrame:
+    """All tokens of the query as words or their beginnings, one word for two of them too; without a trigram index only that leg answers."""
+    line = F.concat("event_type", F.lit(",user"), F.col("user_id").cast("string"))
+    records = ex.where(F.col("event_type") == "click").select(F.col("seq").alias("id"), text.normalize(line).alias("norm"))
+    return search.candidates(search.postings(records), search.trigram_postings(records.limit(0)), "click,user,user4")
