@@ -2,7 +2,8 @@
 
 Hosts most of whose pages an allow rule covers are trusted seeds, those a block rule mostly covers distrusted ones. Trust is
 personalised PageRank along the links between hosts; distrust is the same along reversed links, from the blocked
-hosts to those that link to them. A page that no rule fits is blocked if its host's distrust exceeds its trust by
+hosts to those that link to them. What ends at hosts without links goes back to the seeds. The rounds end when ranks
+change by less than ``TOLERANCE`` in all. A page that no rule fits is blocked if its host's distrust exceeds its trust by
 ``RATIO`` and ``FLOOR``.
 """
 
@@ -11,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import forget, store
 
 # Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 50
+TOLERANCE = 1e-6
 RATIO = 1.0
 FLOOR = 1e-12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(https?://[^"'\s<>]+)"""
+LINK = r"""(?i)<(?:a|area)\b[^>]*?\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,29 +45,37 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, links) between different hosts, from the absolute links in each page's html, counted before the shuffle."""
+    """(src, dst, links) between different hosts, from the absolute and protocol-relative links in each page's html, counted before the shuffle."""
     src, _ = host_and_path(F.col("url"))
-    out = pages.where(F.col("html").contains("://")).select(src.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("to"))
-    dst, _ = host_and_path(F.col("to"))
+    out = pages.where(F.col("html").contains("//")).select(src.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
+    dst, _ = host_and_path(F.concat(F.lit("http:"), F.regexp_replace("to", r"(?i)\Ahttps?:", "")))
     return out.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """hosts (host, good, bad: seed shares) and links to (host, trust, distrust). Every round is a written table."""
+def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """hosts (host, good, bad: seed shares) and links to (host, trust, distrust). Every round is a written table, the last is kept."""
     out = links.groupBy("src").agg(F.sum("links").alias("all"))
     into = links.groupBy("dst").agg(F.sum("links").alias("all"))
     along = links.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("forward"))
     edges = store(along.join(links.join(into, "dst").select("src", "dst", (F.col("links") / F.col("all")).alias("backward")), ["src", "dst"]), "edges")
-    rank = store(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "rank")
     if edges.isEmpty():
-        return rank
+        return store(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "rank")
+    ends = edges.select(F.col("src").alias("host"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1))).groupBy("host").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    seeds = hosts.join(ends, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad"), (F.coalesce("o", F.lit(0)) == 1).alias("leaves"), (F.coalesce("i", F.lit(0)) == 1).alias("entered"))
+    rank = store(seeds.withColumn("trust", F.col("good")).withColumn("distrust", F.col("bad")).withColumn("moved", F.lit(1.0)), "rank")
     for _ in range(rounds):
+        lost, lost_back, moved = rank.agg(F.sum(F.when(~F.col("leaves"), F.col("trust"))), F.sum(F.when(~F.col("entered"), F.col("distrust"))), F.sum("moved")).first()
+        if moved < tolerance:
+            break
         trust = edges.join(rank, edges.src == rank.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forward")).alias("t"), F.lit(0.0).alias("d"))
         distrust = edges.join(rank, edges.dst == rank.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("backward")).alias("d"))
-        moved = trust.union(distrust).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        mixed = lambda seed, part: ((1 - damping) * F.coalesce(seed, F.lit(0.0)) + damping * F.coalesce(part, F.lit(0.0)))
-        rank = store(hosts.join(moved, "host", "full").select("host", mixed(F.col("good"), F.col("t")).alias("trust"), mixed(F.col("bad"), F.col("d")).alias("distrust")), "rank")
-    return rank
+        came = trust.union(distrust).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        mixed = lambda seed, part, back: (1 - damping) * F.col(seed) + damping * (F.coalesce(part, F.lit(0.0)) + F.lit(float(back or 0.0)) * F.col(seed))
+        fresh = rank.join(came, "host", "left").withColumn("t", mixed("good", F.col("t"), lost)).withColumn("d", mixed("bad", F.col("d"), lost_back))
+        fresh = fresh.withColumn("moved", F.abs(F.col("t") - F.col("trust")) + F.abs(F.col("d") - F.col("distrust")))
+        last, rank = rank, store(fresh.select("host", "good", "bad", "leaves", "entered", F.col("t").alias("trust"), F.col("d").alias("distrust"), "moved"), "rank")
+        forget(last)
+    return rank.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:

@@ -73,7 +73,49 @@ QUERIES = {
     "op10_order_minhash": op10_order_minhash,
 }
 
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(substr({url}, strpos({url}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _ranks_sql(rounds: int = hostrank.ROUNDS) -> str:
+    """The rule of each page, the host graph and its rounds of trust and distrust one after the other."""
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}:{h}{p}'" for h, p, v in sorted(hostrank.RULES, key=lambda r: -len(r[0] + r[1])))
+    link = hostrank.LINK.replace("'", "''")
+    d = hostrank.DAMPING
+    steps = [
+        f"""r{k + 1} AS MATERIALIZED (
+            SELECT r.host, good, bad, leaves, entered,
+                {1 - d!r} * good + {d!r} * (coalesce(t, 0) + coalesce((SELECT sum(trust) FROM r{k} WHERE NOT leaves), 0) * good) AS trust,
+                {1 - d!r} * bad + {d!r} * (coalesce(b, 0) + coalesce((SELECT sum(distrust) FROM r{k} WHERE NOT entered), 0) * bad) AS distrust
+            FROM r{k} r LEFT JOIN (SELECT dst AS host, sum(trust * forward) AS t FROM e JOIN r{k} ON src = host GROUP BY dst) USING (host)
+                LEFT JOIN (SELECT src AS host, sum(distrust * backward) AS b FROM e JOIN r{k} ON dst = host GROUP BY src) USING (host))"""
+        for k in range(rounds)
+    ]
+    return f"""
+        WITH u AS (
+            SELECT page_id, html, CASE WHEN contains(url, '://') THEN {_host('url')} ELSE '' END AS host,
+                CASE WHEN contains(url, '://') THEN regexp_extract(regexp_replace(substr(url, strpos(url, '://') + 3), '^[^/?#]*', ''), '^([^?#]*)', 1) ELSE '' END AS path FROM pages
+        ), p AS MATERIALIZED (SELECT page_id, html, host, path, CASE {rules} END AS r FROM u),
+        s AS (SELECT host, count(*) AS n, count(*) FILTER (starts_with(r, 'allow')) AS a, count(*) FILTER (starts_with(r, 'block')) AS b FROM p WHERE host <> '' GROUP BY host),
+        m AS (SELECT host, CASE WHEN a * 2 > n THEN a ELSE 0 END AS a, CASE WHEN b * 2 > n THEN b ELSE 0 END AS b FROM s),
+        w AS (SELECT host, a / greatest(sum(a) OVER (), 1) AS good, b / greatest(sum(b) OVER (), 1) AS bad FROM m),
+        l AS (SELECT host AS src, 'http:' || regexp_replace(unnest(regexp_extract_all(html, '{link}', 1)), '(?i)^https?:', '') AS o FROM p WHERE host <> ''),
+        c AS (SELECT src, {_host('o')} AS dst, count(*) AS n FROM l GROUP BY ALL),
+        e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS backward FROM c WHERE src <> dst AND dst <> ''),
+        r0 AS MATERIALIZED (
+            SELECT host, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, host IN (SELECT src FROM e) AS leaves, host IN (SELECT dst FROM e) AS entered, coalesce(good, 0) AS trust, coalesce(bad, 0) AS distrust
+            FROM w FULL JOIN (SELECT src AS host FROM e UNION SELECT dst FROM e) USING (host)
+        ), {', '.join(steps)}
+        SELECT page_id, host, path, substr(r, 7) AS rule,
+            coalesce(substr(r, 1, 5), CASE WHEN distrust > greatest(trust * {hostrank.RATIO!r}, {hostrank.FLOOR!r}) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN (SELECT host, CASE WHEN (SELECT count(*) FROM e) = 0 THEN good ELSE trust END AS trust, CASE WHEN (SELECT count(*) FROM e) = 0 THEN bad ELSE distrust END AS distrust FROM r{rounds}) USING (host)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op6_url_filter": _ranks_sql(),
     "op2_warc_zip": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
