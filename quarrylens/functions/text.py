@@ -22,6 +22,17 @@ def normalize(c: Column) -> Column:
     return F.translate(c, UPPER + SEPARATORS, LOWER)
 
 
+def norm_offsets(c: Column) -> Column:
+    """0-based places in a text of the characters its normal form keeps, so a place in the one is found in the other."""
+    kept = F.transform(F.split(c, ""), lambda x, i: F.when(F.instr(F.lit(SEPARATORS), x) == 0, i))
+    return F.filter(kept, lambda i: i.isNotNull())
+
+
+def bytes_view(c: Column) -> Column:
+    """The low octet of each UTF-16 unit of a text."""
+    return F.unhex(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "..(..)", "$1"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

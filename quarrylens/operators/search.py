@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fuzzy
-from ..functions.text import WORD_RUN, let, normalize, tokenize, trigrams
+from ..functions.text import WORD_RUN, let, norm_offsets, normalize, tokenize, trigrams
 
 MODES = ("exact", "substring", "normalized", "regex", "fuzzy")
 # Scores of the surfaces.
@@ -69,34 +69,31 @@ def candidates(token_index: DataFrame, tri_index: DataFrame, query: str) -> Data
 
 
 def search(records: DataFrame, query: str, mode: str = "substring", limit: int | None = 200, scope: list[str] | None = None, around: int = 60, prefilter: bool = True) -> DataFrame:
-    """Scored hits of records (text, norm, resource_url, resource_kind, ord): score, start, length and context, best first.
+    """Scored hits of records (text, norm, resource_url, resource_kind, ord): score, start, length, context and marks, best first.
 
-    A pattern that isn't valid gives no rows, as does an empty query. Fuzzy hits are scored in Arrow batches, only for
-    texts of at least the needle's length and, with ``prefilter``, with a quarter of its trigrams.
+    ``start`` and ``length`` are places in the text as it is, also where its normal form was searched; ``marks`` are
+    places in ``context``. A pattern that isn't valid gives no rows, as does an empty query. Fuzzy hits are scored in Arrow
+    batches, only for texts of at least the needle's length and, with ``prefilter``, with a quarter of its trigrams.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     if scope is not None:
         records = records.where(F.col("resource_kind").isin(scope))
     text, low, norm = F.col("text"), F.lower("text"), norm_of(query)
-    empty = records.where(F.lit(False))
-    if not query or mode in ("normalized", "fuzzy") and not norm:
-        hits = empty.withColumn("score", F.lit(0.0)).withColumn("start", F.lit(0)).withColumn("length", F.lit(0))
+    if not query or mode in ("normalized", "fuzzy") and not norm or mode == "regex" and not valid_pattern(records, query):
+        hits = records.where(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("__spans", _span(F.lit(0), F.lit(0)))
     elif mode == "exact":
-        hits = records.where(text.contains(query)).withColumn("score", F.lit(1.0)).withColumn("start", F.instr("text", query) - 1).withColumn("length", F.lit(len(query)))
+        hits = records.where(text.contains(query)).withColumn("score", F.lit(1.0)).withColumn("__spans", _span(F.instr("text", query) - 1, F.lit(len(query))))
     elif mode == "substring":
         hits = records.where(low.contains(query.lower())).withColumn("score", F.when(text.contains(query), 1.0).otherwise(0.92))
-        hits = hits.withColumn("start", F.instr(low, query.lower()) - 1).withColumn("length", F.lit(len(query)))
+        hits = hits.withColumn("__spans", _span(F.instr(low, query.lower()) - 1, F.lit(len(query))))
     elif mode == "normalized":
         hits = records.where(F.col("norm").contains(norm)).withColumn("score", F.when(low.contains(query.lower()), 0.95).otherwise(0.88))
-        hits = hits.withColumn("start", F.greatest(F.instr(low, query.lower()) - 1, F.lit(0))).withColumn("length", F.lit(len(query)))
+        at = F.instr("norm", norm) - 1
+        hits = hits.withColumn("__spans", _spans_of_norm(F.array(F.struct(at.alias("s"), (at + len(norm)).alias("e")))))
     elif mode == "regex":
-        if not valid_pattern(records, query):
-            hits = empty.withColumn("score", F.lit(0.0)).withColumn("start", F.lit(0)).withColumn("length", F.lit(0))
-        else:
-            found = F.regexp_extract("text", query, 0)
-            hits = records.withColumn("__m", found).where(F.length("__m") > 0).withColumn("score", F.lit(0.95))
-            hits = hits.withColumn("start", F.instr("text", F.col("__m")) - 1).withColumn("length", F.length("__m")).drop("__m")
+        hits = records.withColumn("__m", F.regexp_extract("text", query, 0)).where(F.length("__m") > 0).withColumn("score", F.lit(0.95))
+        hits = hits.withColumn("__spans", _span(F.instr("text", F.col("__m")) - 1, F.length("__m"))).drop("__m")
     else:
         worth = F.length("norm") >= len(norm)
         grams = sorted({norm[i : i + 3] for i in range(min(len(norm) - 2, 32))})
@@ -106,13 +103,32 @@ def search(records: DataFrame, query: str, mode: str = "substring", limit: int |
         long_enough = records.where(worth).withColumn("__f", fuzzy.fuzzy_match(F.col("norm"), norm))
         bonus = F.when(text.contains(query), 0.15).otherwise(0.0) + F.when(low.contains(query.lower()), 0.08).otherwise(0.0) + F.when(F.col("norm").startswith(norm), 0.05).otherwise(0.0)
         hits = long_enough.where(F.col("__f.score") >= FUZZY_LEAST).withColumn("score", F.round(F.least(F.lit(1.0), F.col("__f.score") + bonus), 3))
-        hits = hits.withColumn("start", F.coalesce(F.get(F.col("__f.spans"), F.lit(0))["s"], F.lit(0))).withColumn("length", F.lit(len(norm))).drop("__f")
+        spans = _spans_of_norm(F.col("__f.spans"))
+        hits = hits.withColumn("__spans", let(spans, lambda x: F.when(F.size(x) > 0, x).otherwise(_span(F.lit(0), F.least(F.length(text), F.lit(24)))))).drop("__f")
+    hits = hits.withColumn("start", F.col("__spans")[0]["s"]).withColumn("length", F.element_at("__spans", -1)["e"] - F.col("start"))
     begin = F.greatest(F.col("start") - around, F.lit(0))
-    hits = hits.withColumn("mode", F.lit(mode)).withColumn("context", F.substring(text, begin + 1, F.col("length") + 2 * around))
+    end = F.least(F.length(text), F.col("start") + F.col("length") + around)
+    marks = F.transform("__spans", lambda x: F.struct((x["s"] - begin).alias("s"), (F.least(x["e"], end) - begin).alias("e")))
+    hits = hits.withColumn("mode", F.lit(mode)).withColumn("context", F.substring(text, begin + 1, end - begin)).withColumn("marks", marks).drop("__spans")
     hits = hits.orderBy(F.desc("score"), "resource_url", "ord")
     return hits if limit is None else hits.limit(limit)
 
 
+def _span(at: Column, length: Column) -> Column:
+    return F.array(F.struct(at.cast("int").alias("s"), (at + length).cast("int").alias("e")))
+
+
+def _spans_of_norm(spans: Column) -> Column:
+    """Spans of ``norm`` as spans of ``text``, in order."""
+
+    def placed(offsets: Column) -> Column:
+        last = F.size(offsets) - 1
+        found = F.transform(spans, lambda x: F.struct(F.get(offsets, F.greatest(x["s"], F.lit(0))).alias("s"), (F.get(offsets, F.least(last, F.greatest(x["s"], x["e"] - 1))) + 1).alias("e")))
+        return F.array_sort(F.filter(found, lambda x: x["e"] > x["s"]))
+
+    return let(norm_offsets(F.col("text")), placed)
+
+
 def valid_pattern(df: DataFrame, pattern: str) -> bool:
     """Whether the JVM compiles the pattern; asked of it without touching data."""
     try:
@@ -164,14 +180,46 @@ def search_surfaces(surfaces: dict[str, DataFrame], query: str, mode: str = "sub
     return out if limit is None else out.limit(limit)
 
 
-def matches_in_text(text: Column, query: str, most: int = 10) -> Column:
+# Noncharacters, which stand around a match while its place is worked out.
+OPENS, CLOSES = "\ufdd0", "\ufdd1"
+
+
+def with_matches(df: DataFrame, query: str, mode: str = "substring", text: str = "text", most: int | None = None) -> DataFrame:
+    """``df`` with ``matches``: (at, len, score) of the places in a text that don't overlap, at most ``most``.
+
+    ``exact`` keeps case, ``regex`` takes a pattern, all other modes look for the query in any case. A null text has null
+    matches; an empty query, an invalid pattern and matches without characters give none.
+    """
+    none = F.array().cast("array<struct<at:int,len:int,score:double>>")
+    if not query or mode == "regex" and not valid_pattern(df, query):
+        return df.withColumn("matches", F.when(F.col(text).isNotNull(), none))
+    literal = "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    pattern = {"exact": literal, "regex": f"(?i){query}"}.get(mode, f"(?iu){literal}")
+    marked = F.regexp_replace(F.translate(F.col(text), OPENS + CLOSES, "\ufffd\ufffd"), pattern, f"{OPENS}$0{CLOSES}")
+
+    def places(parts: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            found = F.substring_index(part, CLOSES, 1)
+            score = {"exact": F.lit(1.0), "regex": F.lit(0.95)}.get(mode, F.when(found == query, 1.0).otherwise(0.92))
+            one = F.struct(acc["at"].alias("at"), F.length(found).alias("len"), score.alias("score"))
+            return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        start = F.struct(F.length(parts[0]).alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda acc: F.filter(acc["out"], lambda x: x["len"] > 0))
+
+    found = F.when(F.col(text).isNotNull(), let(F.split(marked, OPENS, -1), places))
+    return df.withColumn("matches", found if most is None else F.slice(found, 1, most))
+
+
+def matches_in_text(text: Column, query: str, most: int | None = 10) -> Column:
     """0-based offsets of case-insensitive occurrences that don't overlap."""
 
     def ends(pieces: Column) -> Column:
         before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda acc, x: acc + F.length(x))
         return F.slice(F.transform(pieces, lambda p, i: before(i) + i * len(query)), 1, F.size(pieces) - 1)
 
-    return let(F.slice(F.split(F.lower(text), "\\Q" + query.lower() + "\\E", -1), 1, most + 1), ends)
+    pieces = F.split(F.lower(text), "\\Q" + query.lower() + "\\E", -1)
+    return let(pieces if most is None else F.slice(pieces, 1, most + 1), ends)
 
 
 class Needles:
@@ -241,4 +289,4 @@ def contained(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000) -
     return reduce(DataFrame.unionAll, parts)
 
 
-__all__ = ["MODES", "WORD_RUN", "add_units", "candidates", "contained", "matches_in_text", "postings", "search", "search_surfaces", "trigram_postings"]
+__all__ = ["MODES", "WORD_RUN", "add_units", "candidates", "contained", "matches_in_text", "postings", "search", "search_surfaces", "trigram_postings", "with_matches"]

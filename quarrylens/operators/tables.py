@@ -111,17 +111,26 @@ def union_distinct(*frames: DataFrame, on: list[str]) -> DataFrame:
 
 
 def as_of(events: DataFrame, entries: DataFrame, keys: list[str], seconds: int = 30) -> DataFrame:
-    """Each event with the newest entry of equal keys at most ``seconds`` before it, each entry for one event at most.
+    """Each event with the newest entry of equal keys, at most ``seconds`` before it, that no earlier event has taken.
 
-    Times are dealt to windows of that length; an entry goes to its own window and the next, so the join is on equal
-    keys and windows. events: (event_id, ts, keys), entries: (entry_id, ts, keys).
+    Entries and events pair like opening and closing brackets in time order, as an event always takes the newest entry
+    that is left; a pair too far apart is none. So every row goes to its own window of ``seconds`` and the next, and
+    brackets are matched within each window by depth: one shuffle, and a busy key is split by time. Of entries at one
+    time the one of the largest id is the newest; null keys and times match nothing.
+    events: (event_id, ts, keys), entries: (entry_id, ts, keys).
     """
-    e = events.withColumn("w", F.floor(F.unix_timestamp("ts") / seconds)).alias("e")
-    n = entries.withColumn("w0", F.floor(F.unix_timestamp("ts") / seconds)).withColumn("w", F.explode(F.array("w0", F.col("w0") + 1))).alias("n")
-    same = F.col("e.w") == F.col("n.w")
-    for k in keys:
-        same = same & (F.col(f"e.{k}") == F.col(f"n.{k}"))
-    gap = F.unix_micros(F.col("e.ts").cast("timestamp")) - F.unix_micros(F.col("n.ts").cast("timestamp"))
-    pairs = e.join(n, same & (gap >= 0) & (gap <= seconds * 1_000_000)).select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.event_id").alias("event_id"), F.col("n.entry_id").alias("entry_id"), gap.alias("gap_us"))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy("gap_us", "entry_id"))).where("r = 1")
-    return best.withColumn("r", F.row_number().over(Window.partitionBy("entry_id").orderBy("gap_us", "event_id"))).where("r = 1").drop("r")
+    span = seconds * 1_000_000
+
+    def rows(df: DataFrame, own: str, step: int) -> DataFrame:
+        return df.select(*keys, own, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(step).alias("step")).dropna(subset=[*keys, "us"])
+
+    both = rows(entries, "entry_id", 1).unionByName(rows(events, "event_id", -1), allowMissingColumns=True)
+    own = F.col("us") - F.pmod("us", F.lit(span))
+    dealt = both.withColumn("own", own).withColumn("w", F.explode(F.array(F.col("own"), F.col("own") + span)))
+    order = [F.col("us"), F.desc("step"), F.col("entry_id"), F.col("event_id")]
+    depth = F.sum("step").over(Window.partitionBy(*keys, "w").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    level = dealt.withColumn("level", depth + F.when(F.col("step") < 0, 1).otherwise(0))
+    before = Window.partitionBy(*keys, "w", "level").orderBy(*order)
+    pairs = level.withColumn("found", F.lag("entry_id").over(before)).withColumn("gap_us", F.col("us") - F.lag("us").over(before))
+    kept = pairs.where((F.col("step") < 0) & (F.col("own") == F.col("w")) & F.col("found").isNotNull() & (F.col("gap_us") <= span))
+    return kept.select(*keys, "event_id", F.col("found").alias("entry_id"), "gap_us")

@@ -111,6 +111,28 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", start.cast("long").alias("start"), F.replace(text.snippet(F.col("text"), start, F.lit(7)), F.lit("…"), F.lit("")).alias("body"))
 
 
+@query("x2_normalized_spans", f"""SELECT doc_id, line, o[strpos(norm, 'mitlicense')] AS start, o[strpos(norm, 'mitlicense') + 9] + 1 - o[strpos(norm, 'mitlicense')] AS length, substr(text, o[strpos(norm, 'mitlicense')] + 1, o[strpos(norm, 'mitlicense') + 9] + 1 - o[strpos(norm, 'mitlicense')]) AS marked
+    FROM (SELECT *, list_filter(range(length(text)), lambda i: NOT contains('-_./\\:;|+~*% ', text[i + 1])) AS o FROM ({RECORDS}) WHERE contains(norm, 'mitlicense'))""")
+def normalized_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the text itself, of what was found in its normal form."""
+    hits = search.search(_records(spark, sf_dir), "MIT-License", "normalized", limit=None)
+    marked = F.substring("context", F.col("marks")[0]["s"] + 1, F.col("marks")[0]["e"] - F.col("marks")[0]["s"])
+    return hits.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), marked.alias("marked"))
+
+
+@query("x19_exact_places", """SELECT doc_id, list_transform(generate_series(1, len(p) - 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * 3) AS offsets FROM (SELECT doc_id, string_split(text, 'The') AS p FROM documents)""")
+def exact_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.with_matches(table(spark, sf_dir, "documents"), "The", "exact")
+    return found.select("doc_id", F.transform("matches", lambda m: m["at"].cast("long")).alias("offsets"))
+
+
+@query("x19_regex_places", """SELECT doc_id, list_transform(generate_series(1, len(m)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x)))::BIGINT, 0)) AS offsets,
+    list_transform(m, lambda x: length(x)) AS lengths FROM (SELECT doc_id, regexp_extract_all(text, '(?i)[a-z]+@[a-z.]+|[0-9]{3,}') AS m, regexp_split_to_array(text, '(?i)[a-z]+@[a-z.]+|[0-9]{3,}') AS p FROM documents)""")
+def regex_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.with_matches(table(spark, sf_dir, "documents"), "[a-z]+@[a-z.]+|[0-9]{3,}", "regex")
+    return found.select("doc_id", F.transform("matches", lambda m: m["at"].cast("long")).alias("offsets"), F.transform("matches", lambda m: m["len"].cast("long")).alias("lengths"))
+
+
 @query("x19_match_offsets", """SELECT doc_id, list_transform(generate_series(1, least(len(p) - 1, 10)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * 3) AS offsets FROM (SELECT doc_id, string_split(lower(text), 'the') AS p FROM documents) WHERE len(p) > 1""")
 def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", search.matches_in_text(F.col("text"), "the").cast("array<long>").alias("offsets"))

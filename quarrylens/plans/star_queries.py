@@ -101,10 +101,10 @@ def supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("s_suppkey", "n_name", "r_name")
 
 
-@query("j6_as_of_events", """WITH p AS (SELECT e.event_id, n.event_id AS entry_id, e.user_id, epoch_us(e.ts) - epoch_us(n.ts) AS gap_us FROM events e JOIN events n
-    ON e.user_id = n.user_id AND e.event_type = 'purchase' AND n.event_type = 'view' AND epoch_us(e.ts) - epoch_us(n.ts) BETWEEN 0 AND 21600000000),
-    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap_us, entry_id) = 1)
-    SELECT user_id, event_id, entry_id, gap_us FROM b QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY gap_us, event_id) = 1""")
+@query("j6_as_of_events", """WITH r AS (SELECT user_id, event_id AS id, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 1 ELSE -1 END AS step FROM events WHERE event_type IN ('view', 'purchase')),
+    d AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY us, step DESC, id ROWS UNBOUNDED PRECEDING) AS depth FROM r),
+    p AS (SELECT *, lag(id) OVER w AS entry_id, us - lag(us) OVER w AS gap_us FROM d WINDOW w AS (PARTITION BY user_id, CASE step WHEN 1 THEN depth ELSE depth + 1 END ORDER BY us, step DESC, id))
+    SELECT user_id, id AS event_id, entry_id, gap_us FROM p WHERE step = -1 AND entry_id IS NOT NULL AND gap_us <= 21600000000""")
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     buys = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id")

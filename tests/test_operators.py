@@ -309,3 +309,51 @@ def test_contained_items(spark):
     for chars in (4_000_000, 20):
         assert sorted(map(tuple, search.contained(docs, wanted, chars).collect())) == want
     assert search.contained(docs.limit(0), wanted).count() == search.contained(docs, wanted.limit(0)).count() == 0
+
+
+def test_as_of_takes_the_newest_entry_left(spark):
+    import random
+
+    from quarrylens.operators import tables
+
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice("aab"), rnd.randrange(400), rnd.random() < 0.5) for k in range(300)]
+    start = 1_700_000_000
+    at = lambda s: F.timestamp_seconds(F.lit(start) + s)
+    df = frame(spark, [(k, u, s, e) for k, u, s, e in rows] + [(900, None, 1, True), (901, None, 0, False)], "id int, user string, s int, is_event boolean").withColumn("ts", at(F.col("s")))
+    events = df.where("is_event").select(F.col("id").alias("event_id"), "user", "ts")
+    entries = df.where("not is_event").select(F.col("id").alias("entry_id"), "user", "ts")
+    for seconds in (1, 7, 30):
+        want, open_entries = set(), {"a": [], "b": []}
+        for k, u, s, is_event in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
+            if not is_event:
+                open_entries[u].append((s, k))
+            elif open_entries[u] and s - open_entries[u][-1][0] <= seconds:
+                then, entry = open_entries[u].pop()
+                want.add((u, k, entry, (s - then) * 1_000_000))
+        assert {tuple(r) for r in tables.as_of(events, entries, ["user"], seconds).collect()} == want
+    assert tables.as_of(events.limit(0), entries, ["user"]).count() == 0
+
+
+def test_places_of_matches_in_every_mode(spark):
+    import re
+
+    texts = ["", "The the THE", "athe.the*the", "x\U0001f600the", "the﷐the", "a1 22 333", "thethe" * 300]
+    df = frame(spark, [(t,) for t in texts] + [(None,)], "t string")
+    for mode, query, pattern, flags in (("exact", "the", "the", 0), ("substring", "tHe", "the", re.I), ("regex", "t.e|[0-9]+", "t.e|[0-9]+", re.I), ("regex", "x*", "x+", re.I), ("exact", ".", r"\.", 0)):
+        got = [[(m.at, m.len, m.score) for m in r.matches] if r.matches is not None else None for r in search.with_matches(df, query, mode, "t").collect()]
+        score = {"exact": 1.0, "regex": 0.95}.get(mode)
+        assert got == [[(m.start(), m.end() - m.start(), score or (1.0 if m[0] == query else 0.92)) for m in re.finditer(pattern, t, flags)] for t in texts] + [None]
+    assert [r.matches for r in search.with_matches(df, "(", "regex", "t").collect()][:2] == [[], []]
+    assert [len(r.matches) for r in search.with_matches(df.dropna(), "the", text="t", most=2).collect()] == [0, 2, 2, 1, 2, 0, 2]
+
+
+def test_marks_are_places_in_the_text(spark):
+    from quarrylens.functions.text import normalize
+
+    texts = ["use gpt-6-astra-model now", "GPT_6: model", "no such thing", "gpt.6-atsra"]
+    records = frame(spark, [(t, "u", "script", k) for k, t in enumerate(texts)], "text string, resource_url string, resource_kind string, ord int").withColumn("norm", normalize(F.col("text")))
+    found = {r.ord: r for r in search.search(records, "gpt-6", "normalized").collect()}
+    assert {k: texts[k][r.start : r.start + r.length] for k, r in found.items()} == {0: "gpt-6", 1: "GPT_6", 3: "gpt.6"}
+    fuzzy = {r.ord: r for r in search.search(records, "gpt-6-atsra", "fuzzy").collect()}
+    assert [fuzzy[0].context[m.s : m.e] for m in fuzzy[0].marks][0].startswith("gpt-6-as") and fuzzy[3].context[fuzzy[3].marks[0].s : fuzzy[3].marks[0].e] == texts[3]
