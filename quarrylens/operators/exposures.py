@@ -144,6 +144,34 @@ def csp_findings(responses: DataFrame) -> DataFrame:
     return internal.unionByName(buckets)
 
 
+def page_runtime(batches: DataFrame) -> DataFrame:
+    """Findings of what pages report while they run.
+
+    batches: (url, route, tokens array<struct<param,token,url>>, crypto array<struct<op,algo,preview>>, listeners
+    array<struct<preview,has_origin_check>>). A token in a URL is critical, a preview of eight characters or more of
+    what a page encrypts is high, a message listener that doesn't check its sender is medium.
+    """
+
+    def rows(items: str, test: Column, rule: str, sev: str, label: Column, text: Column, url: Column, kind: str) -> DataFrame:
+        named = (F.lit(rule), F.lit(sev), label, text, url, F.col("route"), F.lit(kind))
+        return batches.select("url", "route", F.explode(items).alias("x")).where(test).select(*[c.cast("string").alias(n) for c, n in zip(named, COLUMNS, strict=True)])
+
+    x = F.col("x")
+    tokens = rows("tokens", F.lit(True), "ephemeral-oauth-token", "critical", F.concat(F.lit("Ephemeral OAuth Token ("), x["param"], F.lit(")")), F.concat_ws("=", x["param"], x["token"]), x["url"], "route")
+    named = F.concat_ws(" ", x["op"], x["algo"])
+    crypto = rows("crypto", F.length(x["preview"]) >= 8, "crypto-cleartext-or-key", "high", F.concat(F.lit("Crypto Tap ("), named, F.lit(")")), F.concat(F.lit("["), named, F.lit("] "), x["preview"]), F.col("url"), "document")
+    heard = rows("listeners", ~F.coalesce(x["has_origin_check"], F.lit(False)), "postmessage-no-origin-check", "medium", F.lit("postMessage Listener Missing Origin Check"), x["preview"], F.col("url"), "document")
+    return tokens.unionByName(crypto).unionByName(heard)
+
+
+def cloud_findings(configs: DataFrame) -> DataFrame:
+    """One finding for each configuration of (resource_url, provider, config map)."""
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("config")), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
+    text = F.concat(F.lit("["), F.col("provider"), F.lit("] "), shown)
+    named = (F.concat(F.lit("cloud-config-"), F.col("provider")), F.lit("medium"), F.concat(F.lit("Cloud BaaS Config ("), F.upper("provider"), F.lit(")")), text, F.col("resource_url"), F.lit(""), F.lit("script"))
+    return configs.select(*[c.cast("string").alias(n) for c, n in zip(named, COLUMNS, strict=True)])
+
+
 def merge(*families: DataFrame, most: int | None = None) -> DataFrame:
     """Union of finding families, one of each rule, text and url; most severe first."""
     from .tables import severity_rank

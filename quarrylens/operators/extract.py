@@ -210,6 +210,8 @@ SINKS = (
 )
 GRAPHQL = re.compile(r"\b(query|mutation|subscription)\s+([A-Za-z_]\w*)\s*[({]")
 PERSISTED = re.compile(r"sha256Hash[\"']\s*:\s*[\"']([a-f0-9]{32,})")
+RPC_INPUT = re.compile(r"input[\"']?\s*[:=]\s*\{([^}]{1,400})")
+RPC_KEY = re.compile(r"\"([A-Za-z_][\w.\-]{0,60})\"\s*:")
 BASE_URL = re.compile(r"(?:baseURL\s*:|\b(?:API_BASE|API_URL|BASE_URL|baseUrl)\s*=)\s*[\"']([^\"']{1,200})[\"']")
 ABSOLUTE = re.compile(r"(?:https?|wss?)://[^\s\"'`<>(){}\[\]]{4,200}")
 IDENTIFIER = re.compile(r"\b[A-Za-z_$][A-Za-z0-9_$]{3,80}\b")
@@ -291,6 +293,8 @@ def js_unit_list(src: str, identifiers: int = 1200) -> list[tuple[str, str, int,
     for text in [*paths, *(t for k, t, _, _ in out if k in ("url", "fetch-target"))]:
         query = text.partition("?")[2].partition("#")[0]
         out += [("param", p.partition("=")[0], 0, text) for p in query.split("&") if re.fullmatch(r"[A-Za-z_][\w.\-]{0,60}", p.partition("=")[0])]
+    if any("/trpc/" in t or "batch=" in t for k, t, _, _ in out if k in ("url", "endpoint", "fetch-target", "route")):
+        out += [("trpc-proc", key, m.start(), "trpc:input") for m in RPC_INPUT.finditer(src) for key in RPC_KEY.findall(m[1])]
     out += [("sink", src[m.start() : m.start() + 120].split("\n")[0], m.start(), name) for name, pattern in SINKS for m in pattern.finditer(src)]
     out += [("string-literal", t[:320], at, None) for t, at in strings.items()]
     names = dict.fromkeys(m[0] for m in IDENTIFIER.finditer(src) if m[0] not in KEYWORDS)
@@ -314,6 +318,30 @@ def js_units(scripts: DataFrame, url: str = "url", body: str = "body") -> DataFr
     return scripts.select(F.col(url).alias("url"), F.col(body).alias("body")).mapInPandas(batches, UNIT)
 
 
+def script_windows(scripts: DataFrame, size: int = 200_000, overlap: int = 2_000, url: str = "url", body: str = "body") -> DataFrame:
+    """(url, window, base_line, body): a script in windows that overlap, with the 1-based line each begins in.
+
+    So a very long script is spread over tasks. Every part of a script is in a window; what lies across the end of one
+    is whole in it if it's no longer than ``overlap``.
+    """
+    text = F.coalesce(F.col(body), F.lit(""))
+    windows = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size) - 1, F.lit(0)).cast("int"))
+    parts = scripts.select(F.col(url).alias("url"), text.alias("whole"), F.posexplode(F.transform(windows, lambda k: F.substring(text, k * size + 1, F.lit(size + overlap)))).alias("window", "body"))
+    before = F.substring("whole", F.lit(1), F.col("window") * size)
+    return parts.select("url", "window", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("base_line"), "body")
+
+
+def windowed_js_units(scripts: DataFrame, size: int = 200_000, overlap: int = 2_000, url: str = "url", body: str = "body") -> DataFrame:
+    """Units of scripts by windows: the first of each kind and text of a script, with its line in the whole script."""
+    windows = script_windows(scripts, size, overlap, url, body)
+    keyed = windows.withColumn("key", F.to_json(F.struct("url", "window", "base_line")))
+    found = js_units(keyed, "key").withColumn("k", F.from_json("resource_url", "url string, window int, base_line int"))
+    placed = found.select(F.col("k.url").alias("resource_url"), F.col("k.window").alias("window"), "ord", "kind", "text", (F.col("line") + F.col("k.base_line") - 1).alias("line"), "extra")
+    first = F.min_by(F.struct("ord", "line", "extra", "window"), F.struct("window", "ord"))
+    out = placed.groupBy("resource_url", "kind", "text").agg(first.alias("f"))
+    return out.select("resource_url", "f.window", "f.ord", "kind", "text", "f.line", "f.extra")
+
+
 def inline_scripts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, ord, body) of scripts within pages."""
     code = r"(?is)<script\b(?![^>]*\bsrc\s*=)(?![^>]*type\s*=\s*[\"']application/(?:ld\+)?json)[^>]*>(.*?)</script>"

@@ -187,3 +187,67 @@ def framework_names(findings: DataFrame, observed: DataFrame) -> DataFrame:
     seen = observed.select(F.explode(named).alias("name"))
     stated = findings.where(F.col("rule").startswith("fw-") & ~F.col("rule").startswith("fw-cve")).select(F.regexp_replace("label", r" [0-9.]+\z", "").alias("name"))
     return seen.unionByName(stated).distinct().orderBy("name")
+
+
+NAVIGATION = "type string, kind string, id string, url string, method string, status int, frame_id long, note string, ts timestamp"
+
+
+def navigation_events(navigations: DataFrame, requests: DataFrame, responses: DataFrame, errors: DataFrame) -> DataFrame:
+    """One table or stream of what a tab does: committed, in-page and completed navigations, requests, answers, errors.
+
+    Missing columns are null; requests of extensions and of the developer tools are left out, as are those without a tab
+    (a negative ``tab_id``), where there is one. An error's text is its note.
+    """
+    names = [c.split(" ") for c in NAVIGATION.split(", ")]
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        if kind == "req-meta":
+            df = df.where(~F.col("url").rlike(r"\A(chrome-extension|devtools)://"))
+            df = df.where("tab_id >= 0") if "tab_id" in df.columns else df
+        own = df.withColumn("type", F.lit(kind))
+        own = own.withColumn("note", F.concat(F.lit("request error: "), "error")) if kind == "diag" else own
+        return own.select(*[(F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in names])
+
+    parts = [of(navigations, "nav"), of(requests, "req-meta"), of(responses, "res-meta"), of(errors, "diag")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+SNAPSHOT = "url string, route string, htmlLen long, links array<string>, scripts array<string>, forms array<string>, iframes array<struct<src:string>>, routes array<string>, manifest string, chunks array<string>, apis array<string>, textSample string, shadowLinks array<string>, ts long"
+
+
+def dom_snapshots(batches: DataFrame, batch: str = "batch") -> DataFrame:
+    """Columns of page snapshots that come as JSON texts; what can't be read has no row. Works on streams."""
+    parsed = batches.select(F.from_json(batch, SNAPSHOT).alias("s")).where("s.url is not null")
+    return parsed.select("s.*")
+
+
+def snapshot_units(snapshots: DataFrame) -> DataFrame:
+    """(resource_url, ord, kind, text): links, also of closed shadow trees, scripts, frames, forms, routes, chunks, endpoints of snapshots."""
+    none = F.array().cast("array<string>")
+    of = lambda kind, c: F.transform(F.coalesce(c, none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    frames = F.transform("iframes", lambda x: x["src"])
+    links = F.array_distinct(F.concat(F.coalesce("links", none), F.coalesce("shadowLinks", none)))
+    parts = [of("dom-link", links), of("script", F.col("scripts")), of("iframe", frames), of("form", F.col("forms")), of("route", F.col("routes")), of("chunk", F.col("chunks")), of("endpoint", F.col("apis"))]
+    out = snapshots.select(F.col("url").alias("resource_url"), F.posexplode(F.flatten(F.array(*parts))).alias("ord", "u"))
+    return out.select("resource_url", "ord", "u.kind", "u.text").where(F.length("text") > 0)
+
+
+def frame_bodies(frames: DataFrame, most: int | None = 32_768) -> DataFrame:
+    """(url, frames, chars, body) of socket frames (url, seq, payload): payloads in order, to ``most`` characters a URL."""
+    size = F.length(F.coalesce("payload", F.lit("")))
+    w = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = frames.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    room = F.lit(None).cast("long") if most is None else F.greatest(F.lit(most) - F.col("before"), F.lit(0))
+    part = F.coalesce(F.col("payload") if most is None else F.substring(F.col("payload"), F.lit(1), room.cast("int")), F.lit(""))
+    held = F.array_sort(F.collect_list(F.when(F.length(part) > 0, F.struct("seq", part.alias("part")))))
+    out = placed.groupBy("url").agg(F.count("*").alias("frames"), held.alias("held"))
+    body = F.array_join(F.transform("held", lambda x: x["part"]), "")
+    return out.select("url", "frames", F.length(body).alias("chars"), body.alias("body"))
+
+
+def module_routes(modules: DataFrame) -> DataFrame:
+    """(url, route) of endpoints that WebAssembly modules (url, body) name."""
+    from ..functions import decode
+
+    found = F.from_json(decode.wasm_json(F.col("body")), "endpoints array<string>")["endpoints"]
+    return modules.select("url", F.explode(found).alias("route")).distinct()

@@ -357,3 +357,29 @@ def test_marks_are_places_in_the_text(spark):
     assert {k: texts[k][r.start : r.start + r.length] for k, r in found.items()} == {0: "gpt-6", 1: "GPT_6", 3: "gpt.6"}
     fuzzy = {r.ord: r for r in search.search(records, "gpt-6-atsra", "fuzzy").collect()}
     assert [fuzzy[0].context[m.s : m.e] for m in fuzzy[0].marks][0].startswith("gpt-6-as") and fuzzy[3].context[fuzzy[3].marks[0].s : fuzzy[3].marks[0].e] == texts[3]
+
+
+def test_rpc_input_keys_come_with_a_procedure():
+    src = 'fetch("/trpc/user.list?batch=1"); const q = {input: {"limit": 5, "cursor": null}};'
+    found = {(k, t, e) for k, t, _, e in extract.js_unit_list(src) if k == "trpc-proc"}
+    assert {("trpc-proc", "limit", "trpc:input"), ("trpc-proc", "cursor", "trpc:input")} <= found
+    assert not [u for u in extract.js_unit_list('const q = {input: {"limit": 5}};') if u[0] == "trpc-proc"]
+
+
+def test_windows_of_a_script_give_the_units_of_the_whole(spark):
+    src = "\n".join(f'fetch("/api/v{k}/items"); // {"x" * 20}' for k in range(400))
+    scripts = frame(spark, [("s", src), ("t", ""), ("n", None)], "url string, body string")
+    units = lambda df: {(r.resource_url, r.kind, r.text, r.line) for r in df.collect() if r.kind in ("endpoint", "fetch-target")}
+    assert units(extract.windowed_js_units(scripts, 1_000, 100)) == units(extract.js_units(scripts))
+    assert extract.script_windows(scripts, 1_000, 100).where("url <> 's'").count() == 2
+
+
+def test_url_finder_tolerates_typos(spark):
+    from quarrylens.functions.fuzzy import match
+    from quarrylens.operators import views
+
+    rows = ["https://a.example/api/users", "https://a.example/usres", "/u", "", None, "https://a.example/static/style.css", "USERS"]
+    got = {r[0] for r in frame(spark, [(u,) for u in rows], "url string").where(views.found(F.col("url"), " Users ")).collect()}
+    assert got == {u for u in rows if "users" in (u or "").lower() or match("users", search.norm_of(u or ""))[0] >= 0.45}
+    assert "https://a.example/usres" in got and None not in got
+    assert frame(spark, [(u,) for u in rows], "url string").where(views.found(F.col("url"), " ")).count() == len(rows)
