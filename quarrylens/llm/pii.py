@@ -2,7 +2,7 @@
 
 Generators of high recall propose spans, which may overlap: the base kinds by their patterns, and looser forms (digit
 groups, written-out addresses, assigned values and other words of mixed characters). Base spans that pass their checks
-are always redacted. The other candidates are scored by boosted trees, learned from a bounded sample whose nature
+are always redacted. The other candidates are scored by boosted trees, learned from those of all rows, whose nature
 another view decides than the one the trees see. The trees see the format alone; the truth of a base form is its
 check (checksum, range or number of digits), of a digit group or a mixed word the cue before it (``card:``, ``token =``),
 of a written-out address its top-level domain. So trees find uncued values of a format that cues go with. Platt's curve
@@ -13,23 +13,24 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .shared import small_batches
+from .shared import forget, small_batches, store
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("contact", "number", "secret")
 KINDS = BASE + ADDED
-SAMPLE = 20_000
 PRECISION = 0.98
+HELD_HERE = 1 << 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -185,42 +186,130 @@ def as_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered(spans))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Judge:
-    """Trees, curve and cuts from at most about ``sample`` rows, chosen by a hash of the text.
+def learn(docs: DataFrame, precision: float = PRECISION, held_here: int = HELD_HERE) -> Judge:
+    """Trees, curve and cuts from the candidates of all rows; equal texts are in one part, so no copy is both learned and held out.
 
-    The driver gets the features of at most ``sample`` of their candidates. Rows with a null text aren't used; without
-    positive and negative candidates nothing is added to the base spans. A kind of which held-out candidates exist but
-    no positive one adds nothing; one without any is held to the cut of all kinds together, a half at least.
+    Candidates are counted by kind, part, format and label before anything else, which is exact as trees see no more than
+    that. Up to ``held_here`` different ones are learned from on the driver, more of them where they are stored, by the
+    same sums. Rows with a null text aren't used; without positive and negative candidates nothing is added to the base
+    spans. A kind of which held-out candidates exist but no positive one adds nothing; one without any is held to the cut
+    of all kinds together, a half at least.
     """
+    counted = store(counts(docs), "candidates")
+    if counted.count() <= held_here:
+        rows = counted.collect()
+        kind, part, y, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 3, 4))
+        x = np.frombuffer(b"".join(r.x for r in rows)).reshape(len(rows), len(features("", 0, 0)))
+        judge = _learned(kind, part, x, y, n, precision)
+    else:
+        judge = _learned_apart(counted, precision)
+    forget(counted)
+    return judge
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """kind (its place in ``KINDS``), part (0 to 4, by text), x (features as octets), y (positive ones) and n of the candidates of all rows."""
     small_batches(docs.sparkSession)
-    rows = docs.where("text is not null").select(F.col("text").cast("string"))
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.where("text is not null").select(F.col("text").cast("string"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = [(KINDS.index(k), y, features(t, a, b)) for t in part.column("text").to_pylist() for k, a, b, y in candidates(t) if y >= 0]
-            columns = [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "y", "x"])
-
-    # A stated bound: at most ``sample`` candidates, in the order of a hash of their features.
-    seen = picked.mapInArrow(batches, "kind int, y int, x array<double>").orderBy(F.xxhash64("x", "kind"), "kind", "y").limit(sample).collect()
-    if not seen:
+        for rows in parts:
+            good: Counter[tuple[int, int, bytes]] = Counter()
+            seen: Counter[tuple[int, int, bytes]] = Counter()
+            for text, part in zip(rows.column("text").to_pylist(), rows.column("part").to_pylist(), strict=True):
+                for kind, a, b, y in candidates(text):
+                    key = KINDS.index(kind), part, np.array(features(text, a, b)).tobytes()
+                    seen[key] += 1
+                    good[key] += y
+            keys = list(seen)
+            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary())]
+            columns += [pa.array([c[k] for k in keys], pa.int64()) for c in (good, seen)]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "part", "x", "y", "n"])
+
+    found = texts.select("text", F.pmod(F.xxhash64("text", F.lit(8)), F.lit(5)).cast("int").alias("part")).mapInArrow(batches, "kind int, part int, x binary, y long, n long")
+    return found.groupBy("kind", "part", "x").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+
+
+def _both(y: int, n: int) -> bool:
+    return 0 < y < n
+
+
+def _learned(kind: np.ndarray, part: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> Judge:
+    use, check, held = part > 1, part == 1, part == 0
+    if not _both(y[use].sum(), n[use].sum()):
         return Judge(None, {})
-    kind, y, x = (np.array([r[k] for r in seen]) for k in range(3))
-    if y.min() == y.max():
+    edges = [gbdt.bounds(x[use, j], n[use]) for j in range(x.shape[1])]
+    bins = gbdt.binned(edges, x)
+    model = gbdt.grow(gbdt.in_memory(bins[use], y[use], n[use]), edges)
+    if check.any():
+        model = gbdt.platt(model, gbdt.in_memory(bins[check], y[check], n[check]))
+    p = model.of_bins(bins)
+    own = lambda k: held & (kind == k) if (held & (kind == k)).any() else held
+    return Judge(model, {name: max(0.5, gbdt.threshold(p[own(k)], y[own(k)], precision, n[own(k)])) for k, name in enumerate(KINDS)})
+
+
+def _learned_apart(counted: DataFrame, precision: float) -> Judge:
+    """As ``_learned`` from a stored table: the driver gets bin bounds, sums and cuts only."""
+    width = len(features("", 0, 0))
+    use = counted.where("part > 1")
+    good, total = use.agg(F.sum("y"), F.sum("n")).first()
+    if not _both(good or 0, total or 0):
         return Judge(None, {})
-    part = np.arange(len(y)) % 5
-    model = gbdt.calibrate(gbdt.fit(x[part > 1], y[part > 1].astype(float)), x[part == 1], y[part == 1].astype(float))
-    held = part == 0
-    p = model.probability(x)
-    cuts = {}
-    for k, name in enumerate(KINDS):
-        own = held & (kind == k)
-        use = own if own.any() else held
-        cuts[name] = max(0.5, gbdt.threshold(p[use], y[use], precision))
-    return Judge(model, cuts)
+
+    def values(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            if rows.num_rows:
+                x = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(-1, width)
+                columns = [pa.array(np.repeat(np.arange(width, dtype=np.int32), len(x))), pa.array(x.T.ravel()), pa.array(np.tile(rows.column("n").to_numpy(), width))]
+                yield pa.RecordBatch.from_arrays(columns, names=["j", "v", "n"])
+
+    by_value = use.mapInArrow(values, "j int, v double, n long").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    ends = by_value.select("j", "v", "n", F.sum("n").over(Window.partitionBy("j").orderBy("v")).alias("end"))
+    at = F.explode(F.array(*[F.lit(k).cast("long") for k in gbdt.places(total)])).alias("at")
+    chosen = ends.select("j", "v", "n", "end", at).where("at >= end - n and at < end").select("j", "v").distinct().collect()
+    edges = [np.array(sorted(r.v for r in chosen if r.j == j)) for j in range(width)]
+
+    def bins(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            x = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(-1, width)
+            yield rows.set_column(2, "x", pa.array([row.tobytes() for row in gbdt.binned(edges, x)], pa.binary()))
+
+    binned = counted.mapInArrow(bins, counted.schema).groupBy("kind", "part", "x").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    binned = store(binned, "binned")
+
+    def arrays(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(rows.column("x").to_pylist()), np.uint8).reshape(-1, width), rows.column("y").to_numpy(), rows.column("n").to_numpy()
+
+    def sums(table: DataFrame) -> gbdt.Sums:
+        def added(f: Callable[..., np.ndarray]) -> np.ndarray:
+            def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                whole = None
+                for rows in parts:
+                    if rows.num_rows:
+                        found = f(*arrays(rows))
+                        whole = found if whole is None else whole + found
+                if whole is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary()), pa.array([list(whole.shape)], pa.list_(pa.int32()))], names=["s", "shape"])
+
+            return sum(np.frombuffer(r.s).reshape(r.shape) for r in table.mapInArrow(batches, "s binary, shape array<int>").toLocalIterator())
+
+        return added
+
+    model = gbdt.grow(sums(binned.where("part > 1")), edges)
+    if not binned.where("part = 1").isEmpty():
+        model = gbdt.platt(model, sums(binned.where("part = 1")))
+
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            yield pa.RecordBatch.from_arrays([rows.column("kind"), pa.array(model.of_bins(arrays(rows)[0])), rows.column("y"), rows.column("n")], names=["kind", "p", "y", "n"])
+
+    held = binned.where("part = 0").mapInArrow(scored, "kind int, p double, y long, n long")
+    held = held.select(F.explode(F.array("kind", F.lit(-1))).alias("kind"), "p", "y", "n").groupBy("kind", "p").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    held = held.select("kind", "p", (F.sum("y").over(down) / F.sum("n").over(down)).alias("good"))
+    cuts = {r.kind: r.cut for r in held.groupBy("kind").agg(F.coalesce(F.min(F.when(F.col("good") >= precision, F.col("p"))), F.lit(1.1)).alias("cut")).collect()}
+    forget(binned)
+    return Judge(model, {name: max(0.5, cuts.get(k, cuts.get(-1, 1.1))) for k, name in enumerate(KINDS)})
 
 
 def find(docs: DataFrame, judge: Judge) -> DataFrame:

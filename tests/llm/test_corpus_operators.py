@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import decontaminate, gbdt, hostrank, kneser_ney, licenses, mixing, near_copies, pii, queries, toxicity, warc
-from quarrylens.llm.shared import WORD, held_out
+from quarrylens.llm.shared import WORD, held_out, store
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -352,6 +352,44 @@ def test_added_spans_have_recall_by_kind(spark):
         assert pii.ordered(want) == judge.spans(t)
 
 
+def test_pii_learns_from_all_rows(spark):
+    """Candidates of every row count, also far past 20,000 rows; learned on the driver or where they are stored, trees and cuts are equal."""
+    ids = spark.range(60_000)
+    text = F.concat(F.lit("note "), F.when(F.col("id") % 3 == 0, "mail a@b.org").when(F.col("id") % 3 == 1, F.concat(F.lit("token="), F.sha2(F.col("id").cast("string"), 256))).otherwise(F.concat(F.lit("no "), F.lpad(F.col("id").cast("string"), 13, "7"))), F.lit(" end "), F.col("id"))
+    rows = ids.select(F.col("id").alias("doc_id"), text.alias("text"))
+    counted = store(pii.counts(rows.union(rows.select("doc_id", F.lit(None).cast("string")))), "counted")
+    want = Counter((k, y) for r in rows.collect() for k, _, _, y in pii.candidates(r.text))
+    kinds = [(pii.KINDS[r.kind], r.y, r.n) for r in counted.groupBy("kind").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()]
+    assert sum(want.values()) > 60_000 and sorted(kinds) == sorted((k, want[k, 1], want[k, 0] + want[k, 1]) for k in {k for k, _ in want})
+    few = rows.where("doc_id < 3000")
+    here, apart = pii.learn(few), pii.learn(few, held_here=0)
+    assert all((a == b).all() for a, b in zip(here.model.edges, apart.model.edges, strict=True)) and len(here.model.trees) == len(apart.model.trees) == 40
+    assert all((a == b).all() for s, t in zip(here.model.trees, apart.model.trees, strict=True) for a, b in zip(s, t, strict=True))
+    assert here.cuts.keys() == apart.cuts.keys() and np.allclose([here.cuts[k] for k in here.cuts], [apart.cuts[k] for k in here.cuts])
+    assert np.allclose((here.model.a, here.model.b), (apart.model.a, apart.model.b))
+    for t in ("token=x", "a@b.cc 1.2.3.4"):  # too little to learn from: the base spans alone
+        one = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        assert pii.learn(one) == pii.learn(one, held_here=0) == pii.Judge(None, {})
+
+
+def test_trees_of_counted_rows():
+    """A row that stands for many counts as often, in bounds, trees, curve and cuts."""
+    rng = np.random.default_rng(5)
+    x, n = rng.integers(0, 60, (300, 3)).astype(float), rng.integers(1, 9, 300)
+    y = rng.binomial(n, np.where(x[:, 0] > x[:, 1], 0.9, 0.2))
+    many = np.repeat(x, n, axis=0)
+    labels = np.concatenate([np.arange(k) < good for k, good in zip(n, y, strict=True)]).astype(float)
+    one = gbdt.calibrate(gbdt.fit(many, labels), many, labels)
+    edges = [gbdt.bounds(x[:, j], n) for j in range(3)]
+    sums = gbdt.in_memory(gbdt.binned(edges, x), y, n)
+    two = gbdt.platt(gbdt.grow(sums, edges), sums)
+    assert all((a == np.unique(np.quantile(many[:, j], np.linspace(0, 1, 33)[1:-1], method="lower"))).all() for j, a in enumerate(edges))
+    assert all(np.array_equal(a, b) for s, t in zip(one.trees, two.trees, strict=True) for a, b in zip(s, t, strict=True))
+    assert np.allclose(one.probability(x), two.probability(x), atol=1e-9)
+    p = two.probability(x)
+    assert gbdt.threshold(p, y, 0.9, n) == gbdt.threshold(np.repeat(p, n), labels, 0.9)
+
+
 def test_very_long_runs():
     assert pii.base_spans("1" * 5000 + ".1.2.3") == [] and pii.base_spans("0" * 5000 + "1.1.2.3") == [("ip", 0, 5007)]
     text = "4040120712871565 or 100000000000 and password=ab12cd34ef56 " * 3000
