@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard index 0.8 or more."""
+    """One document of each group of near copies stays: linked by SimHash, then by sets of five-word shingles; Jaccard index 0.8 or more."""
     return near_copies.keep_one(docs)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by word shingles: an exact set join with prefixes and length bounds, the Jaccard index to verify.
+"""Near copies by SimHash, then by word shingles: an exact set join for what fingerprints miss, the Jaccard index to verify.
 
-A link is a pair of texts whose sets of five-word shingles have a Jaccard index of ``LEAST`` or more. Two sets like that
-share one of the first n - ceil(LEAST * n) + 1 of their n shingles in any order all texts share, so the pairs that
+A link is a pair of texts whose sets of five-word shingles have a Jaccard index of ``LEAST`` or more. First come the pairs
+that SimHash links (pivot distance tables, coordinate pruning, 2 bits or fewer apart, as in ``simhash``); those whose sets
+verify are links. Many links are further apart than 2 bits, so the set join follows for all pairs that aren't linked yet.
+Two sets that are a link share one of the first n - ceil(LEAST * n) + 1 of their n shingles in any order all texts share, so the pairs that
 meet in a bucket of such a shingle and pass the length bound are all that can be links. The order puts the shingles
 last that are common in a sample of texts; the sample decides how many pairs meet, never which links are found.
 What two sets share stands at or after their first common shingle, so a bucket pairs two members only if enough of
@@ -28,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .shared import forget, free_shuffles, small_batches, store
 from .simhash import shingle_hashes
 
 NGRAM = 5
+SIMHASH_NGRAM = 3
 LEAST = 0.8
 BUCKET_LIMIT = 8
 TILE = 1024
@@ -105,7 +109,7 @@ def most_apart(a: int, b: int, least: float) -> float:
 
 
 def prints(docs: DataFrame, ngram: int = NGRAM, least: float = LEAST) -> DataFrame:
-    """doc_id, h (hash of the text) and of each text g (hash of its shingle set), size of the set, sketch and keys (its prefix)."""
+    """doc_id, h (hash of the text) and of each text g (hash of its shingle set), size of the set, SimHash fingerprint fp, sketch and keys (its prefix)."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, ngram))
 
@@ -116,11 +120,28 @@ def prints(docs: DataFrame, ngram: int = NGRAM, least: float = LEAST) -> DataFra
             sets = [shingle_set(t.as_py(), ngram) for t in part.column("text")]
             own = [np.int64(h) if not len(s) else np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) for s, h in zip(sets, part.column("h").to_pylist(), strict=True)]
             keys = pa.array([prefix(s, sent.value, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            columns = [part.column("doc_id"), part.column("h"), pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "g", "size", "sketch", "keys"])
+            fps = np.array([simhash.simhash(shingle_hashes(t.as_py(), SIMHASH_NGRAM)) for t in part.column("text")], np.uint64).view(np.int64)
+            columns = [part.column("doc_id"), part.column("h"), pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array([sketch(s) for s in sets], pa.binary()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "g", "size", "fp", "sketch", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    return rows.mapInArrow(batches, "doc_id long, h long, g long, size int, sketch binary, keys array<long>")
+    return rows.mapInArrow(batches, "doc_id long, h long, g long, size int, fp long, sketch binary, keys array<long>")
+
+
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (h, size, fp) that SimHash links: of equal fingerprints with the least text, of linked ones their least texts."""
+    texts = classes.where("size > 0").select("h", "fp")
+    least = store(texts.groupBy("fp").agg(F.min("h").alias("hub")), "fingerprints")
+    equal = texts.join(least, "fp").where("h <> hub").select(*_in_order(F.col("h"), F.col("hub")))
+    side = lambda s: least.select(F.col("fp").alias(s), F.col("hub").alias(f"hub_{s}"))
+    linked = simhash.links(least.select("fp")).join(side("src"), "src").join(side("dst"), "dst").select(*_in_order(F.col("hub_src"), F.col("hub_dst")))
+    return equal.union(linked).distinct()
+
+
+def unlinked(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that are not in one component of ``linked`` (id, component)."""
+    side = lambda s: linked.select(F.col("id").alias(s), F.col("component").alias(f"c{s}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -202,8 +223,7 @@ def sieved(pairs: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataF
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, component) of the texts (hashes) of ``classes`` that have links: what all links connect."""
-    members = buckets(classes)
+    """(id, component) of the texts (hashes) of ``classes`` that have links: what all links connect, SimHash's first."""
     sketches = classes.select("h", "doc_id", "size", "sketch", "short")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -214,7 +234,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         forget(near, sets)
         return found
 
-    found = verify(first_pairs(members))
+    found = verify(simhash_pairs(classes))
+    linked = connected_components(found)
+    members = buckets(classes)
+    found = store(found.union(verify(unlinked(first_pairs(members), linked))), "links")
+    forget(linked)
     linked = connected_components(found)
     for turn in range(STARS):
         rest = unsettled(members, linked, turn)
@@ -299,13 +323,13 @@ def verified(sets: DataFrame, pairs: DataFrame, least: float = LEAST) -> DataFra
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, h and group (a text hash, the same for all texts it reaches) per row of ``docs``; equal texts share a group."""
     found = store(prints(docs), "prints")
-    one = found.groupBy("g").agg(F.min(F.struct("h", "doc_id")).alias("x"), F.first(F.struct("size", "sketch", "keys")).alias("y")).select("g", "x.*", "y.*")
+    one = found.groupBy("g").agg(F.min(F.struct("h", "doc_id", "fp")).alias("x"), F.first(F.struct("size", "sketch", "keys")).alias("y")).select("g", "x.*", "y.*")
 
     def shortened(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield part.append_column("short", pa.array([short_sketch(x) for x in part.column("sketch").to_pylist()], pa.list_(pa.int64())))
 
-    classes = store(one.mapInArrow(shortened, "g long, h long, doc_id long, size int, sketch binary, keys array<long>, short array<long>"), "classes")
+    classes = store(one.mapInArrow(shortened, "g long, h long, doc_id long, fp long, size int, sketch binary, keys array<long>, short array<long>"), "classes")
     ids = store(found.select("doc_id", "h", "g"), "ids")
     forget(found)
     free_shuffles(docs.sparkSession)

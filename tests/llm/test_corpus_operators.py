@@ -16,7 +16,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm import decontaminate, gbdt, hostrank, kneser_ney, licenses, mixing, near_copies, pii, queries, toxicity, warc
+from quarrylens.llm import decontaminate, gbdt, hostrank, kneser_ney, licenses, mixing, near_copies, pii, queries, simhash, toxicity, warc
 from quarrylens.llm.shared import WORD, held_out, store
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -416,6 +416,32 @@ def test_boosted_trees():
 # --- near copies by brute force ---
 
 
+def test_simhash_links_near_copies_first(spark, monkeypatch):
+    """Long texts with a word changed are linked by SimHash alone; what it misses the join of sets adds; neither changes the other's links."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(4000)])
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(30)]
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    rows += [(100 + k, t.replace(t.split()[700], "changed", 1), "a") for k, t in enumerate(texts)]
+    rows += [(200 + k, t + " " + " ".join(rng.choice(words, 250)), "a") for k, t in enumerate(texts[:10])]
+    table = docs(spark, [*rows, *ODD])
+    grouped = lambda: sorted(sorted(r.ids) for r in near_copies.groups(table).where("doc_id is not null").groupBy("group").agg(F.collect_set("doc_id").alias("ids")).collect())
+    fp = {i: simhash.simhash(simhash.shingle_hashes(t, 3)) for i, t, _ in rows}
+    close = [k for k in range(30) if (fp[k] ^ fp[100 + k]).bit_count() <= 2]
+    far = [k for k in range(10) if (fp[k] ^ fp[200 + k]).bit_count() > 2]
+    assert len(close) >= 20 and len(far) >= 8
+    whole = grouped()
+    assert all([k, 100 + k, *([200 + k] if k < 10 else [])] in whole for k in range(30))
+    none = spark.createDataFrame([], "a long, b long")
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "first_pairs", lambda members: none)
+        alone = grouped()
+        assert all(any({k, 100 + k} <= set(g) for g in alone) for k in close) and len(alone) > len(whole)
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "simhash_pairs", lambda classes: none)
+        assert grouped() == whole
+
+
 def test_near_copies_of_a_whole_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     sets = {r.doc_id: near_copies.shingle_set(r.text) for r in rows}
