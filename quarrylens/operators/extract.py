@@ -99,9 +99,10 @@ def css_units(sheets: DataFrame, url: str = "url", body: str = "body") -> DataFr
 
 def text_lines(df: DataFrame, url: str = "url", body: str = "body", least: int = 3, most: int = 320) -> DataFrame:
     """Trimmed lines of ``least`` to ``most`` characters with their 1-based numbers."""
-    out = df.select(F.col(url).alias("resource_url"), F.posexplode(F.split(F.col(body), "\n")).alias("ord", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"\A[\s]+|[\s]+\z", ""))
-    return out.select("resource_url", "ord", F.lit("text-line").alias("kind"), line.alias("text"), (F.col("ord") + 1).alias("line")).where(F.length("text").between(least, most))
+    # Trimmed before the lines become rows: filters on the text would repeat the work for each of their terms.
+    lines = F.transform(F.split(F.col(body), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    out = df.select(F.col(url).alias("resource_url"), F.posexplode(lines).alias("ord", "text")).where(F.length("text").between(least, most))
+    return out.select("resource_url", "ord", F.lit("text-line").alias("kind"), "text", (F.col("ord") + 1).alias("line"))
 
 
 def header_units(exchanges: DataFrame) -> DataFrame:

@@ -98,8 +98,9 @@ def search(records: DataFrame, query: str, mode: str = "substring", limit: int |
         worth = F.length("norm") >= len(norm)
         grams = sorted({norm[i : i + 3] for i in range(min(len(norm) - 2, 32))})
         if prefilter and grams:
-            votes = reduce(lambda a, b: a + b, [F.col("norm").contains(g).cast("int") for g in grams])
-            worth = worth & (votes >= max(1, len(grams) // 4))
+            votes = lambda n: reduce(lambda a, b: a + b, [n.contains(g).cast("int") for g in grams])
+            # The filter moves below the columns of the records; so the normal form is worked out once, not for each trigram.
+            worth = let(F.col("norm"), lambda n: (F.length(n) >= len(norm)) & (votes(n) >= max(1, len(grams) // 4)))
         long_enough = records.where(worth).withColumn("__f", fuzzy.fuzzy_match(F.col("norm"), norm))
         bonus = F.when(text.contains(query), 0.15).otherwise(0.0) + F.when(low.contains(query.lower()), 0.08).otherwise(0.0) + F.when(F.col("norm").startswith(norm), 0.05).otherwise(0.0)
         hits = long_enough.where(F.col("__f.score") >= FUZZY_LEAST).withColumn("score", F.round(F.least(F.lit(1.0), F.col("__f.score") + bonus), 3))

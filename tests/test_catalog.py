@@ -59,3 +59,12 @@ def test_assigned_secrets_with_running_numbers(spark, tmp_path):
     assert {seq for seq, _, _ in got} >= {123456, 1234560, 1234561, 3123456}
     plain_rule = spark.createDataFrame([('password = "Zk9123456pqWm"',), ('password = "Zk9***pqWm"',), ('password = "Zk912345pqWm"',)], "text string")
     assert [r.value for r in secrets.scan(plain_rule).collect()] == ["Zk912345pqWm"]
+
+
+@pytest.mark.parametrize("name", ["x13_search_fuzzy", "x12_search_regex"])
+def test_searches_work_out_lines_once(spark, tiny, name):
+    """Filters that move below the lines and records must not repeat trimming or normalising for each of their terms."""
+    plan = catalog.QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and max(line.count("trim(") for line in filters) == 0
+    assert max(line.count("translate(") for line in filters) <= 1

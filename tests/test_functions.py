@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -55,6 +56,28 @@ def test_edit_distance_counts_transpositions():
 PATHS = [("/api/models", "endpoint"), ("/v1/chat", "endpoint"), ("/graphql", "endpoint"), ("/dashboard/settings", "route"), ("/1999/xhtml", None), ("/2000/svg", None), ("/1998/Math/MathML", None), ("/a/b.css", "asset"), ("api/x", "endpoint"), ("//cdn.x/y", None), ("/123", None), ("x y", None)]
 
 
+def test_fuzzy_windows_of_a_batch(monkeypatch):
+    """Ends that the bit vectors find are those of all parts compared one by one; scores stay, and far texts cost no comparison."""
+    r = random.Random(3)
+    for n in ("abc", "abcab", "apache", "apachelisence", "ab" * 32, "aé😀b", "ab", "a" * 65):
+        texts = ["", n, n[:-1], n[1:] + "c", "x" * 330 + n]
+        for _ in range(20):
+            h = [r.choice(n + "x") for _ in range(r.randint(1, 40))]
+            at = r.randrange(len(h))
+            texts.append("".join(h[:at]) + n[: len(n) // 2] + r.choice(["", "x", n[0]]) + n[len(n) // 2 + 1 :] + "".join(h[at:]))
+        most = 1 if len(n) <= 5 else 2
+        found = fuzzy.near_ends(n, texts)
+        for h, ends in zip(texts, found):
+            t = h[:320]
+            near = {e for e in range(1, len(t) + 1) if any(fuzzy.edit_distance(n, t[s:e], most) <= most for s in range(max(0, e - len(n) - most), e + 1))}
+            assert ends == (near if 3 <= len(n) <= 64 else set())
+            assert fuzzy.match(n, h, ends) == fuzzy.match(n, h)
+    far = "a dull line that is quite far from what is sought, and again a dull line"
+    ends = fuzzy.near_ends("apachelisence", [far])[0]
+    monkeypatch.setattr(fuzzy, "edit_distance", None)
+    assert fuzzy.match("apachelisence", far, ends) == (0.0, [])
+
+
 def test_path_classes(spark):
     got = values(spark, [p for p, _ in PATHS], urls.classify_path(F.col("s")))
     assert got == [c for _, c in PATHS] == [path_class(p) for p, _ in PATHS]

@@ -383,3 +383,9 @@ def test_url_finder_tolerates_typos(spark):
     assert got == {u for u in rows if "users" in (u or "").lower() or match("users", search.norm_of(u or ""))[0] >= 0.45}
     assert "https://a.example/usres" in got and None not in got
     assert frame(spark, [(u,) for u in rows], "url string").where(views.found(F.col("url"), " ")).count() == len(rows)
+
+
+def test_text_lines_trim_white_space(spark):
+    body = " \t a  b\x0b\x0c\r\n\n   \nab \n\u00a0abc\u00a0\r\nabc"
+    found = extract.text_lines(frame(spark, [("u", body), ("n", None)], "url string, body string")).collect()
+    assert [(r.resource_url, r.ord, r.line, r.kind, r.text) for r in found] == [("u", 0, 1, "text-line", "a  b"), ("u", 4, 5, "text-line", "\u00a0abc\u00a0"), ("u", 5, 6, "text-line", "abc")]
